@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import cut, whole_text, without_ids
 
 BLOCK_CHARS = 2048
 
@@ -103,7 +103,8 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, route: Callable
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
     rows = cut(identities(docs, block_chars, route))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid")))
-    groups = rows.groupBy("n_blocks", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Stored, so that the join deals out the rows by themselves and Spark can split a large group's share.
+    groups = cut(rows.groupBy("n_blocks", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     return rows.join(groups, ["n_blocks", "name"], "left").select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
@@ -111,3 +112,18 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, route: Callable
         (F.col("size").isNull() | (F.col("first.rid") == F.col("rid"))).alias("kept"),
         "text_sha256",
     )
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs, all columns, without the rows that exact_dedup drops."""
+    found = cut(exact_dedup(docs.select("doc_id", "text")).select("doc_id", "kept", "text_sha256"))
+    # Ids that are null or repeated don't say which of their rows stays; the content does.
+    odd = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id"))
+    if odd.isEmpty():
+        return without_ids(docs, found.where("not kept").select("doc_id"))
+    plain = without_ids(docs.where("doc_id is not null"), found.where("not kept").select("doc_id").unionByName(odd).where("doc_id is not null").distinct())
+    sha = F.sha2(normalised(whole_text()), 256)
+    keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    rows = docs.join(odd.select(F.col("doc_id").alias("_odd")), docs["doc_id"].eqNullSafe(F.col("_odd")), "left_semi").withColumn("_own", sha)
+    rows = rows.join(keep, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))).dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    return plain.unionByName(rows)

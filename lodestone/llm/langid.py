@@ -28,6 +28,8 @@ from .words import slices
 PROFILE = 300
 #: A text's n-grams are sorted in runs of this many characters, so that very long texts need little memory.
 CHUNK = 1 << 20
+#: A text that scores less shares hardly an n-gram with any language.
+LEAST = 0.2
 #: Shares of a language's n-grams that are ranked apart before the driver merges them.
 SHARES = 16
 
@@ -156,19 +158,26 @@ class Model:
         return self.langs[k], float(1 - out[k] / (self.size * len(mine)))
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
-    """docs with lang_pred and score added; docs may hold any columns but these."""
+def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and the score added under two names that docs doesn't have."""
     model = Model(profiles, size)
-    names = docs.columns
+    columns = [*docs.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             got = [model.predict(x) for x in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=columns)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """docs, all columns, without those in no language: und, or a score below least. Learns from every row that has a language."""
+    names = ("_lang_pred", "_lang_score")
+    found = predict(docs, learn(docs), names=names)
+    return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= least)).select(*docs.columns)
+
+
 def of_training(docs: DataFrame) -> DataFrame:
     return docs.where("crc32(cast(cast(doc_id as string) as binary)) % 4 != 2")

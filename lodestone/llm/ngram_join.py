@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, small
+from .common import cut, shuffle_partitions, small, without_ids
 from .components import components
 from .words import SLICE_BYTES, chained, coded, hashed, mixed, slices, split_words
 
@@ -263,3 +263,9 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = SKETC
     low = cut(full.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k")).where("k > 1").select("c", "component_id"))
     out = full.join(low, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def near_deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns; of each component the row of the smallest doc_id stays."""
+    found = ngram_join(docs, n, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    return without_ids(docs, cut(found))
