@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, ngram_join, packing, secrets
+from . import decontam, exact_dedup, langid, lm, ngram_join, packing, secrets
 from .common import table
 
 
@@ -21,6 +21,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 10"), F.lit(1))
+    # Of the training texts, those of remainder 1 are the ones on which the weights are learned.
+    fold = F.when(part == 0, 0).when(part == 1, 2).otherwise(1)
+    return lm.score(table(spark, sf_dir, "documents"), fold)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     base = tuple(r.kind for r in secrets.BASE_RULES)
@@ -55,6 +62,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
