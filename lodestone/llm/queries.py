@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, lm, ngram_join, packing, secrets
+from . import decontam, exact_dedup, langid, lm, ngram_join, packing, quality, secrets
 from .common import table
 
 
@@ -45,6 +45,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, false)"
+    model = quality.learn(docs.where(f"not {held}"), labels.where(f"not {held}").select("doc_id", "quality"))
+    found = quality.scored(docs, model)
+    return found.select("doc_id", F.expr(held).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -65,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_quality": op6_quality,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
