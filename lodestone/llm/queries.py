@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, lm, ngram_join, packing, quality, secrets
+from . import decontam, exact_dedup, html_extract, langid, lm, ngram_join, packing, quality, secrets
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, false)"
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_html_extraction": op5_html_extraction,
     "op6_quality": op6_quality,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_language_id": op8_language_id,
