@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, html_extract, langid, lm, ngram_join, packing, quality, secrets
+from . import decontam, exact_dedup, html_extract, langid, licenses, lm, ngram_join, packing, quality, secrets
 from .common import table
 
 
@@ -72,6 +72,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree of one to three levels, by source and remainders of doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    below = F.expr("case doc_id % 3 when 0 then '' when 1 then concat('/', doc_id % 7) else concat('/', doc_id % 7, '/', doc_id % 11) end")
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), below, F.lit("/"), F.col("doc_id"), F.lit(".txt"))
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    return found.select(F.regexp_extract("path", r"(-?\d+)\.txt$", 1).cast("long").alias("doc_id"), "path", "license", "origin", "score", "from_dir")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
@@ -82,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 SQL: dict[str, str] = {
