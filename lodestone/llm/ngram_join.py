@@ -6,9 +6,9 @@ a pair's overlap is counted in each fragment separately, where only the two segm
 
 Which pairs are worth counting: sets of a similarity t share one of the first n - ceil(t n) + 1 shingles of the order
 (the rarest), so documents meet under these. Copies are one class first. Under a shingle that many classes share, not
-all pairs are made: everything is compared to one hub; what its links join needs no more comparing; pairs across
-different components are then compared, in further rounds with other hubs while they'd be more than linear in number,
-and at last all of them. So no link that could join two components is left out, whatever the group's size.
+all pairs are made: everything is compared to one hub, the class that shares most (an original has none of its copies'
+edits); what its links join needs no more comparing; pairs across different components are then compared, in further
+rounds with more hubs while they'd be more than linear in number, and at last all of them. So no link that could join two components is left out, whatever the group's size.
 
 Defined cases: null and empty texts have no shingle, are linked with nothing and are their own component; texts of
 fewer than n words are one shingle; repeated rows are copies; rows that repeat a doc_id with other texts are linked on
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions, small, without_ids
@@ -37,6 +37,8 @@ FRAGMENTS = 8
 #: A list whose pairs across components are at most so many times its length is compared at once.
 LINEAR = 32
 HUB_ROUNDS = 4
+#: Hubs of a list in each round but the first.
+HUBS = 16
 
 _SIGN = np.uint64(1 << 63)
 
@@ -171,7 +173,7 @@ def _segments(docs: DataFrame, n: int, fragments: int) -> DataFrame:
             rows = pa.RecordBatch.from_arrays([pa.array(np.repeat(node, fragments)), pa.array(np.tile(np.arange(fragments, dtype=np.int32), len(s.sizes))), lists], names=["node", "fragment", "part"])
             yield rows.filter(pa.array(np.diff(cuts, axis=1).ravel() > 0))
 
-    return docs.select("text").mapInArrow(run, "node long, fragment int, part array<long>").dropDuplicates(["node", "fragment"])
+    return docs.select("text").mapInArrow(run, "node long, fragment int, part array<long>")
 
 
 def _possible(percent: int) -> str:
@@ -180,12 +182,13 @@ def _possible(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and 1 + least(na - 1 - pa, nb - 1 - pb) >= {need}"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, n: int, fragments: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b, na, nb) those that are similar, as (a, b). where: node and doc_id of one document each."""
+def _verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, unique: bool, n: int, fragments: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b, na, nb) those that are similar, as (a, b). where: node and doc_id of one document each; unique: no id comes twice."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = cut(where.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("_id")))
     mine = docs.join(small(ids, ids.count(), 16), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    parts = cut(_segments(mine, n, fragments))
+    parts = _segments(mine, n, fragments)
+    parts = cut(parts if unique else parts.dropDuplicates(["node", "fragment"]))
     each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))).select("a", "b", "fragment")
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("x"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("y"))
@@ -201,14 +204,18 @@ def links(docs: DataFrame, profiles: DataFrame, levels: np.ndarray, n: int, perc
     classes = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     # One text of each class is enough; ids that stand for several rows stay.
     rest = profiles.where("n > 0").join(classes.where("copies > 1").select("node", F.col("doc_id").alias("first")), "node").where("doc_id <> first").select("doc_id")
-    rest = cut(rest.join(profiles.groupBy("doc_id").count().where("count > 1").select("doc_id"), "doc_id", "left_anti").distinct())
+    twice = cut(profiles.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    unique = twice.isEmpty()
+    rest = cut(rest if unique else rest.join(twice, "doc_id", "left_anti").distinct())
     gone = rest.count()
     one = docs.join(small(rest, gone, 16), "doc_id", "left_anti") if gone else docs
     shared_levels = spark.sparkContext.broadcast(levels)
     postings = _postings(one, n, shared_levels, bits, percent)
     often = postings.groupBy("key").count().where("count > 1").select("key")
-    lists = cut(postings.join(often, "key").distinct())
+    lists = postings.join(often, "key").distinct()
     where = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    degree = lists.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    lists = cut(lists.join(degree, "node"))
     edges = None
     label = None
     for turn in range(HUB_ROUNDS + 2):
@@ -216,32 +223,32 @@ def links(docs: DataFrame, profiles: DataFrame, levels: np.ndarray, n: int, perc
             now = lists.withColumn("c", F.col("node"))
         else:
             now = lists.join(label, "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label")
-        by = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("node", "n", "pos")).alias("first"))
-        # Of each list: its length, its pairs across components, and a hub of the smallest component.
-        stats = by.groupBy("key").agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("cs"), F.sum(F.col("k") * F.col("k")).alias("sq"), F.min(F.struct("k", "first")).alias("hub"))
-        stats = stats.where("cs > 1").select("key", ((F.col("m") * F.col("m") - F.col("sq")) / 2 <= LINEAR * F.col("m")).alias("few"), F.col("hub.first").alias("hub"))
+        # Of each list: its length and its pairs across components.
+        stats = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("cs"), F.sum(F.col("k") * F.col("k")).alias("sq"))
+        stats = stats.where("cs > 1").select("key", ((F.col("m") * F.col("m") - F.col("sq")) / 2 <= LINEAR * F.col("m")).alias("few"))
         now = cut(now.join(stats, "key"))
         last = turn > HUB_ROUNDS
         if now.isEmpty():
             break
         whole = F.lit(True) if last else (F.col("few") & F.lit(turn > 0))
-        star = now.where(~whole & (F.col("node") != F.col("hub.node"))).select(
-            F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.pos").alias("pa"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")
-        )
-        some = now.where(whole)
-        left = some.select("key", F.col("c").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-        right = some.select("key", F.col("c").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-        across = left.join(right, "key").where("ca < cb")
-        pairs = star.unionByName(across.select(star.columns)).where(_possible(percent))
+        order = [F.desc("degree"), "node"] if turn == 0 else [F.xxhash64("node", F.lit(turn)), "node"]
+        # The limit is applied in each partition first, so a long list doesn't meet in one task.
+        first = F.row_number().over(Window.partitionBy("key").orderBy(*order))
+        hubs = now.where(~whole).withColumn("r", first).where(F.col("r") <= (1 if turn == 0 else HUBS)).select("key", "node", "c", "n", "pos")
+        left = now.where(whole).select("key", "node", "c", "n", "pos").withColumn("hub", F.lit(False)).unionByName(hubs.withColumn("hub", F.lit(True)))
+        left = cut(left.select("key", "hub", F.col("c").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")))
+        right = now.select("key", F.col("c").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+        pairs = right.join(left, "key").where("ca <> cb and (hub or ca < cb)").where(_possible(percent))
         low_first = F.col("a") < F.col("b")
         pairs = pairs.select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(low_first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(low_first, F.col("nb")).otherwise(F.col("na")).alias("nb")
         )
         pairs = cut(pairs.distinct())
-        # What was compared here needs no more lists: hubs go, and lists that were compared as a whole.
-        lists = cut(now.where(~whole & (F.col("node") != F.col("hub.node"))).select("key", "node", "n", "pos"))
+        # Hubs were compared with all that is in other components; so were lists that were compared as a whole.
+        rest = now.where(~whole).select("key", "node", "n", "pos", "degree")
+        lists = cut(rest.join(left.where("hub").select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"))
         if not pairs.isEmpty():
-            new = cut(_verified(pairs, docs, where, n, fragments, percent))
+            new = cut(_verified(pairs, docs, where, unique, n, fragments, percent))
             edges = new if edges is None else edges.unionByName(new)
             label = cut(components(edges))
         if last:
