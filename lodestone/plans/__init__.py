@@ -1,3 +1,3 @@
 """Registered queries by group; each module fills the registry when it is imported."""
 
-from . import collab  # noqa: F401
+from . import collab, stats  # noqa: F401
