@@ -105,9 +105,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("flt19_melt_idf", _WV + """, deg AS (SELECT voc_id, count(*) AS degree FROM wv GROUP BY voc_id) SELECT voc_id, degree, log10((SELECT count(*) FROM works) / (degree + 1)) AS idf
-    FROM deg WHERE degree / (SELECT count(*) FROM works) < 0.05""", *_T)
+    FROM deg WHERE degree / (SELECT count(*) FROM works) < 0.3""", *_T)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return S.melted(work_vocabulary(spark, d), X.works(spark, d))
+    return S.melted(work_vocabulary(spark, d), X.works(spark, d), 0.3)
 
 
 @query("mth03_idf_variants", _WV + """, deg AS (SELECT voc_id, count(*) AS degree FROM wv GROUP BY voc_id), t AS (SELECT count(*) AS t FROM works)
