@@ -1,3 +1,3 @@
 """Registered queries by group; each module fills the registry when it is imported."""
 
-from . import collab, relational, stats  # noqa: F401
+from . import collab, relational, retrieval, stats  # noqa: F401
