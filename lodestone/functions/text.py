@@ -65,7 +65,7 @@ def restored(index: Column) -> Column:
 def mentions(title: Column, term: Column) -> Column:
     """STR-19: a short alphabetic term as a whole word, others anywhere."""
     short = term.rlike("^[a-z]{1,5}$")
-    return F.when(short, F.lower(title).rlike(F.concat(F.lit(r"\b"), term, F.lit(r"\b")))).otherwise(F.contains(F.lower(title), term))
+    return F.when(short, F.rlike(F.lower(title), F.concat(F.lit(r"\b"), term, F.lit(r"\b")))).otherwise(F.contains(F.lower(title), term))
 
 
 def has_cjk(x: Column) -> Column:
