@@ -1,3 +1,3 @@
 """Registered queries by group; each module fills the registry when it is imported."""
 
-from . import collab, label, relational, retrieval, stats, texts  # noqa: F401
+from . import collab, label, relational, retrieval, stats, texts, training  # noqa: F401
