@@ -230,8 +230,9 @@ class Model:
         for k in range(n - 1, 0, -1):
             a, b, c, d = up[k]
             x, y, z = f0 * a + f1 * b + f2 * c, c0 * a + c1 * b + c2 * c, d
-            s = x + y + z
-            sent[k] = x, y, z = x / s, y / s, z / s
+            s = x + y + z or 1.0
+            # Never quite 0, as messages are divided out again on the way down.
+            sent[k] = x, y, z = x / s or 1e-200, y / s or 1e-200, z / s or 1e-200
             p = up[parent[k]]
             p[0] *= x
             p[1] *= y
