@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def expanded(frontier: DataFrame, edges: DataFrame, least: float = 0.0, top: int | None = None) -> DataFrame:
     """JOIN-19/21, WIN-03: anchor, dst, score over edges of at least `least`; the top ones of each anchor, ties by dst."""
@@ -29,9 +31,18 @@ def sampled(triples: DataFrame, seeds: DataFrame, inner_relation: int) -> DataFr
 
 
 def dense_ids(nodes: DataFrame, key: str, offset: int = 0) -> DataFrame:
-    """Node keys numbered from offset in order of key. The rank of a key is its place in its range partition after those before it."""
-    ordered = nodes.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
-    return ordered.withColumn("id", F.row_number().over(Window.orderBy(key)) - 1 + offset)
+    """Node keys numbered from offset in order of key: a key's place in its range partition, after all partitions before it."""
+    place = F.monotonically_increasing_id()
+    ordered = stored(nodes.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("_place", place))
+    part = F.shiftright("_place", 33)
+    first, at = [], offset
+    for r in ordered.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row per partition
+        first.append((r["part"], at))
+        at += r["count"]
+    if not first:
+        return ordered.select(key, F.lit(0).cast("long").alias("id"))
+    starts = F.broadcast(nodes.sparkSession.createDataFrame(first, "_part long, _first long"))
+    return ordered.join(starts, part == F.col("_part")).select(key, (F.col("_first") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
 
 
 def neighbour_sum(edges: DataFrame, features: DataFrame) -> DataFrame:
