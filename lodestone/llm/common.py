@@ -30,10 +30,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 200_000) -> tuple[DataFrame, int]:
+    """df stored, read back in one partition for about so many rows, and its number of rows: small tables then make few shuffle files."""
+    kept = cut(df)
+    n = kept.count()
+    return kept.coalesce(max(1, -(-n // rows))), n
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its counted rows fit BROADCAST_BYTES, else as it is (a shuffled join)."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
@@ -45,8 +60,9 @@ def whole_text(name: str = "text") -> Column:
 
 def without_ids(documents: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key is not among ids (distinct, stored); null keys stay. A small set is broadcast after it was counted."""
-    ids = ids.select(F.col(key).alias("_gone"))
+    gone = fresh(documents, "_gone")
+    ids = ids.select(F.col(key).alias(gone))
     n = ids.count()
     if n == 0:
         return documents
-    return documents.join(small(ids, n, 24), documents[key] == F.col("_gone"), "left_anti")
+    return documents.join(small(ids, n, 24), F.col(key) == F.col(gone), "left_anti")

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text, without_ids
+from .common import cut, fresh, whole_text, without_ids
 
 BLOCK_CHARS = 2048
 
@@ -122,8 +122,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     if odd.isEmpty():
         return without_ids(docs, found.where("not kept").select("doc_id"))
     plain = without_ids(docs.where("doc_id is not null"), found.where("not kept").select("doc_id").unionByName(odd).where("doc_id is not null").distinct())
-    sha = F.sha2(normalised(whole_text()), 256)
-    keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.join(odd.select(F.col("doc_id").alias("_odd")), docs["doc_id"].eqNullSafe(F.col("_odd")), "left_semi").withColumn("_own", sha)
-    rows = rows.join(keep, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))).dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    own, id_, sha, odd_ = (fresh(docs, x) for x in ("_own", "_id", "_sha", "_odd"))
+    keep = found.where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).distinct()
+    rows = docs.join(odd.select(F.col("doc_id").alias(odd_)), F.col("doc_id").eqNullSafe(F.col(odd_)), "left_semi").withColumn(own, F.sha2(normalised(whole_text()), 256))
+    rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha))).dropDuplicates([id_, sha]).select(*docs.columns)
     return plain.unionByName(rows)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
 from .words import slices
 
 PROFILE = 300
@@ -30,6 +31,7 @@ PROFILE = 300
 CHUNK = 1 << 20
 #: A text that scores less shares hardly an n-gram with any language.
 LEAST = 0.2
+BLANK = (1 << 21) - 1
 #: Shares of a language's n-grams that are ranked apart before the driver merges them.
 SHARES = 16
 
@@ -64,6 +66,8 @@ def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(codes):
+        return codes, counts
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
@@ -78,9 +82,11 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
         x = letters(text[at : at + CHUNK]).astype(np.int64)
         if not len(x):
             continue
+        blank = x == 0
+        x[blank] = BLANK  # no 0 in front, so n-grams of different lengths have different codes
         two = (x[:-1] << 21) | x[1:]
         three = (two[:-1] << 21) | x[2:]
-        codes, counts = _counted(np.concatenate([x[x != 0], two, three[x[1:-1] != 0]]))
+        codes, counts = _counted(np.concatenate([x[~blank], two, three[~blank[1:-1]]]))
         all_codes.append(codes)
         all_counts.append(counts)
     if not all_codes:
@@ -174,7 +180,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
 
 def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs, all columns, without those in no language: und, or a score below least. Learns from every row that has a language."""
-    names = ("_lang_pred", "_lang_score")
+    names = (fresh(docs, "_lang_pred"), fresh(docs, "_lang_score"))
     found = predict(docs, learn(docs), names=names)
     return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= least)).select(*docs.columns)
 

@@ -32,6 +32,8 @@ BLOCK_BYTES = 10 << 20
 RANGE_KEYS = 1 << 20
 BUCKETS = 48
 STEPS = 8
+#: Tokens that the weights of all buckets together count for in each.
+STRENGTH = 20.0
 _BITS = 56
 _Q = 64 * STEPS
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -256,18 +258,19 @@ def expectation_maximisation(histogram: dict[int, int], tokens: int, distinct: i
     p[start, 0] /= max(1, starts)
     b = np.where(start, bucket(np.array([float(starts)]))[0], b)
 
-    def learned(rows: np.ndarray) -> np.ndarray:
-        w = np.full(3, 1 / 3)
+    def learned(rows: np.ndarray, before: np.ndarray, strength: float) -> np.ndarray:
+        w = before
         for _ in range(rounds):
             mix = p[rows] * w
-            w = (n[rows, None] * mix / mix.sum(1, keepdims=True)).sum(0)
+            w = (n[rows, None] * mix / mix.sum(1, keepdims=True)).sum(0) + strength * before
             w /= w.sum()
         return w
 
-    seen = learned(b > 0) if (b > 0).any() else np.array([0.0, 0.5, 0.5])
+    # A bucket of few tokens stays near the weights of all, and no weight becomes 0.
+    even = np.full(3, 1 / 3)
+    seen = learned(b > 0, even, 1.0) if (b > 0).any() else even
     for k in range(BUCKETS):
-        rows = b == k
-        weights[k] = learned(rows) if rows.any() else (seen if k else weights[k])
+        weights[k] = learned(b == k, seen if k else even, STRENGTH)
     weights[0, 0] = 0.0  # nothing was seen after such a word
     weights[0] /= weights[0].sum()
     return weights

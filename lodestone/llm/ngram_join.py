@@ -6,8 +6,8 @@ a pair's overlap is counted in each fragment separately, where only the two segm
 
 Which pairs are worth counting: sets of a similarity t share one of the first n - ceil(t n) + 1 shingles of the order
 (the rarest), so documents meet under these. Copies are one class first. Under a shingle that many classes share, not
-all pairs are made: everything is compared to one hub, the class that shares most (an original has none of its copies'
-edits); what its links join needs no more comparing; pairs across different components are then compared, in further
+all pairs are made: everything is compared to one hub, the class in which the shingle comes first (an
+original has none of its copies' edits, which are rarer); what its links join needs no more comparing; pairs across different components are then compared, in further
 rounds with more hubs while they'd be more than linear in number, and at last all of them. So no link that could join two components is left out, whatever the group's size.
 
 Defined cases: null and empty texts have no shingle, are linked with nothing and are their own component; texts of
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, small, without_ids
+from .common import compact, cut, shuffle_partitions, small, without_ids
 from .components import components
 from .words import SLICE_BYTES, chained, coded, hashed, mixed, slices, split_words
 
@@ -182,18 +182,20 @@ def _possible(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and 1 + least(na - 1 - pa, nb - 1 - pb) >= {need}"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, unique: bool, n: int, fragments: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, where: DataFrame, unique: bool, n: int, fragments: int, percent: int) -> DataFrame:
     """Of the pairs (a, b, na, nb) those that are similar, as (a, b). where: node and doc_id of one document each; unique: no id comes twice."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = cut(where.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("_id")))
-    mine = docs.join(small(ids, ids.count(), 16), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    ids, n_ids = compact(where.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("_id")))
+    mine = docs.join(small(ids, n_ids, 16), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     parts = _segments(mine, n, fragments)
     parts = cut(parts if unique else parts.dropDuplicates(["node", "fragment"]))
     each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))).select("a", "b", "fragment")
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("x"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("y"))
     overlap = F.size(F.array_intersect("x", "y"))
-    partial = each.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", overlap.alias("shared"))
+    # The pairs go to the segments of their first ends, and these to the second.
+    met = left.join(small(each, n_pairs * fragments, 40), ["a", "fragment"])
+    partial = met.join(right, ["b", "fragment"]).select("a", "b", overlap.alias("shared"))
     total = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     return total.join(pairs, ["a", "b"]).where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
 
@@ -204,53 +206,57 @@ def links(docs: DataFrame, profiles: DataFrame, levels: np.ndarray, n: int, perc
     classes = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     # One text of each class is enough; ids that stand for several rows stay.
     rest = profiles.where("n > 0").join(classes.where("copies > 1").select("node", F.col("doc_id").alias("first")), "node").where("doc_id <> first").select("doc_id")
-    twice = cut(profiles.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    unique = twice.isEmpty()
-    rest = cut(rest if unique else rest.join(twice, "doc_id", "left_anti").distinct())
-    gone = rest.count()
+    twice, n_twice = compact(profiles.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    unique = not n_twice
+    rest, gone = compact(rest if unique else rest.join(twice, "doc_id", "left_anti").distinct())
     one = docs.join(small(rest, gone, 16), "doc_id", "left_anti") if gone else docs
     shared_levels = spark.sparkContext.broadcast(levels)
     postings = _postings(one, n, shared_levels, bits, percent)
     often = postings.groupBy("key").count().where("count > 1").select("key")
-    lists = postings.join(often, "key").distinct()
+    found = postings.join(often, "key")
+    lists, n_lists = compact(found if unique else found.distinct())
     where = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    degree = lists.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    lists = cut(lists.join(degree, "node"))
     edges = None
     label = None
     for turn in range(HUB_ROUNDS + 2):
-        if label is None:
-            now = lists.withColumn("c", F.col("node"))
+        if not n_lists:
+            break
+        last = turn > HUB_ROUNDS
+        if label is None:  # all are on their own
+            now = lists.withColumn("c", F.col("node")).withColumn("few", F.lit(False))
         else:
             now = lists.join(label, "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label")
-        # Of each list: its length and its pairs across components.
-        stats = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("cs"), F.sum(F.col("k") * F.col("k")).alias("sq"))
-        stats = stats.where("cs > 1").select("key", ((F.col("m") * F.col("m") - F.col("sq")) / 2 <= LINEAR * F.col("m")).alias("few"))
-        now = cut(now.join(stats, "key"))
-        last = turn > HUB_ROUNDS
-        if now.isEmpty():
-            break
+            # Of each list: its length and its pairs across components.
+            stats = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("cs"), F.sum(F.col("k") * F.col("k")).alias("sq"))
+            stats = stats.where("cs > 1").select("key", ((F.col("m") * F.col("m") - F.col("sq")) / 2 <= LINEAR * F.col("m")).alias("few"))
+            stats, n_stats = compact(stats)
+            now, n_now = compact(now.join(small(stats, n_stats, 32), "key"))
+            if not n_now:
+                break
         whole = F.lit(True) if last else (F.col("few") & F.lit(turn > 0))
-        order = [F.desc("degree"), "node"] if turn == 0 else [F.xxhash64("node", F.lit(turn)), "node"]
+        # First the class in which the key comes first, with the fewest shingles of its own before it.
+        order = ["pos", "node"] if turn == 0 else [F.xxhash64("node", F.lit(turn)), "node"]
         # The limit is applied in each partition first, so a long list doesn't meet in one task.
         first = F.row_number().over(Window.partitionBy("key").orderBy(*order))
         hubs = now.where(~whole).withColumn("r", first).where(F.col("r") <= (1 if turn == 0 else HUBS)).select("key", "node", "c", "n", "pos")
         left = now.where(whole).select("key", "node", "c", "n", "pos").withColumn("hub", F.lit(False)).unionByName(hubs.withColumn("hub", F.lit(True)))
-        left = cut(left.select("key", "hub", F.col("c").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")))
+        left, n_left = compact(left.select("key", "hub", F.col("c").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")))
         right = now.select("key", F.col("c").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-        pairs = right.join(left, "key").where("ca <> cb and (hub or ca < cb)").where(_possible(percent))
+        pairs = right.join(small(left, n_left, 64), "key").where("ca <> cb and (hub or ca < cb)").where(_possible(percent))
         low_first = F.col("a") < F.col("b")
         pairs = pairs.select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(low_first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(low_first, F.col("nb")).otherwise(F.col("na")).alias("nb")
         )
-        pairs = cut(pairs.distinct())
+        pairs, n_pairs = compact(pairs.distinct())
         # Hubs were compared with all that is in other components; so were lists that were compared as a whole.
-        rest = now.where(~whole).select("key", "node", "n", "pos", "degree")
-        lists = cut(rest.join(left.where("hub").select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"))
-        if not pairs.isEmpty():
-            new = cut(_verified(pairs, docs, where, unique, n, fragments, percent))
+        rest = now.where(~whole).select("key", "node", "n", "pos")
+        hubs = left.where("hub").select("key", F.col("a").alias("node"))
+        lists, n_lists = compact(rest.join(small(hubs, n_left, 24), ["key", "node"], "left_anti"))
+        if n_pairs:
+            new = cut(_verified(pairs, n_pairs, docs, where, unique, n, fragments, percent))
             edges = new if edges is None else edges.unionByName(new)
-            label = cut(components(edges))
+            label, n_label = compact(components(edges))
+            label = small(label, n_label, 24)
         if last:
             break
     return edges if edges is not None else spark.createDataFrame([], "a long, b long")
@@ -263,7 +269,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = SKETC
     profiles = stored.where("part is null").select("doc_id", "n", "node", "other")
     levels = _levels(stored.where("part is not null").select("part", "counts"), bits)
     found = links(docs, profiles, levels, n, percent, bits, fragments)
-    label = components(found)
+    label, n_label = compact(components(found))
+    label = small(label, n_label, 24)
     rows = profiles.join(label, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("c"))
     rows = cut(rows)
     full = rows.where("n > 0")

@@ -29,9 +29,9 @@ from .words import coded, ragged, slices, split_words
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Bytes of text worked on at once: the more, the fewer distinct words to look up.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _tokenizers: dict = {}
