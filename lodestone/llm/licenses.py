@@ -122,7 +122,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
     # The best score, then the first name, then the longer part.
     own = cut(scored.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", (-F.col("part")).alias("p"))).alias("best")).select("rid", "best.license", (-F.col("best.s")).alias("score"), (-F.col("best.p")).alias("part")))
     n_own = own.count()
-    at = rows.select("rid", "path").join(small(own, n_own, 64), "rid", "left")
+    at = rows.select("rid", "path").join(small(own, n_own, 256), "rid", "left")
     is_file = F.col("license").isNotNull() & ((F.col("part") >= 0.5) | F.coalesce(F.col("path").rlike(_FILE_NAME), F.lit(False)))
     at = at.withColumn("is_file", is_file)
     directory = F.regexp_replace("path", r"/[^/]*$", "")
@@ -130,8 +130,8 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
     dirs = cut(dirs.select("dir", F.col("best.license").alias("given")))
     n_dirs = dirs.count()
     free = at.where(F.col("license").isNull() & F.col("path").isNotNull()).select("rid", F.explode(ancestors(F.col("path"))).alias("dir"))
-    near = free.join(small(dirs, n_dirs, 128), "dir").groupBy("rid").agg(F.max(F.struct(F.length("dir").alias("depth"), "dir", "given")).alias("near"))
+    near = free.join(small(dirs, n_dirs, 256), "dir").groupBy("rid").agg(F.max(F.struct(F.length("dir").alias("depth"), "dir", "given")).alias("near"))
     near = cut(near.select("rid", "near.given", F.col("near.dir").alias("from_dir")))
-    out = at.join(small(near, near.count(), 128), "rid", "left")
+    out = at.join(small(near, near.count(), 256), "rid", "left")
     origin = F.when(F.col("is_file"), "licence file").when(F.col("license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").otherwise("none")
     return out.select("path", F.coalesce("license", "given").alias("license"), origin.alias("origin"), F.coalesce("score", F.lit(0.0)).alias("score"), "from_dir")

@@ -94,7 +94,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
+def _secret_sql() -> str:
+    """The spans of every rule from the pieces between its matches and these, as in the operator."""
+    kinds = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS ord, '{r.kind}' AS kind, {max(r.least, 1)} AS least, regexp_extract_all(x, p) AS hits, regexp_extract_all(x, p, {r.group}) AS held, string_split_regex(x, p) AS gaps"
+        f" FROM (SELECT *, '{r.pattern.replace(chr(39), chr(39) * 2)}' AS p FROM t)"
+        for k, r in enumerate(secrets.RULES)
+    )
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)
+    said = "string_agg(concat_ws(':', kind, start, start + n), ',' ORDER BY start, ord)"
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), k AS ({kinds}),
+            s AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM k WHERE len(hits) > 0),
+            p AS (SELECT doc_id, ord, kind, least, length(hits[i]) AS n, length(held[i]) AS m,
+                CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS start FROM s),
+            f AS (SELECT * FROM p WHERE m >= least)
+        SELECT t.doc_id, {counts}, sha256(coalesce({said} FILTER (WHERE kind IN ({base})), '')) AS base_sha256, coalesce({said} FILTER (WHERE kind IS NOT NULL), '') AS spans
+        FROM t LEFT JOIN f ON t.doc_id = f.doc_id GROUP BY t.doc_id"""
+
+
 SQL: dict[str, str] = {
+    "op3_secret_scan": _secret_sql(),
     "op9_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256,
