@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows are broadcast only when this many bytes at most were counted first.
-BROADCAST_BYTES = 32 << 20
+#: Rows are broadcast only when this many bytes at most were counted first; as a hash table on the driver they take some ten times that.
+BROADCAST_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
