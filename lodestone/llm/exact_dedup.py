@@ -55,7 +55,8 @@ def _named_blocks(docs: DataFrame, size: int, route: Callable[[Column], Column])
     # Sorted by content, numbered, and fixed; the block itself is not stored.
     ordered = blocks.select("route", "block").distinct().sortWithinPartitions("block")
     names = cut(ordered.select("route", (F.monotonically_increasing_id() + 1).alias("name")))
-    by_route = names.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
+    # Stored, so that the join below deals out the occurrences by themselves and Spark can split those of a hot block.
+    by_route = cut(names.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name")))
     clash = by_route.where("n > 1").select("route")
     occurrences = blocks.select("rid", "doc_id", "sha", "pos", "route")
     if clash.isEmpty():

@@ -203,9 +203,9 @@ def _verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, where: DataFrame,
 def links(docs: DataFrame, profiles: DataFrame, levels: np.ndarray, n: int, percent: int, bits: int, fragments: int) -> DataFrame:
     """Links (a, b) between classes that join the same components as all links do."""
     spark = docs.sparkSession
-    classes = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    classes = cut(profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     # One text of each class is enough; ids that stand for several rows stay.
-    rest = profiles.where("n > 0").join(classes.where("copies > 1").select("node", F.col("doc_id").alias("first")), "node").where("doc_id <> first").select("doc_id")
+    rest = profiles.where("n > 0").join(classes.select("node", F.col("doc_id").alias("first")), "node").where("doc_id <> first").select("doc_id")
     twice, n_twice = compact(profiles.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     unique = not n_twice
     rest, gone = compact(rest if unique else rest.join(twice, "doc_id", "left_anti").distinct())
