@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, small
+from .common import compact
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     while n and (state := _state(now)) != before:
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low, k = compact(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large, _ = compact(both.join(small(low, k, 32), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low, k = compact(large.groupBy("u").agg(F.min("v").alias("m")))
-        joined = large.join(small(low, k, 32), "u")
+        low, _ = compact(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large, _ = compact(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low, _ = compact(large.groupBy("u").agg(F.min("v").alias("m")))
+        joined = large.join(low, "u")
         now, n = compact(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)

@@ -182,7 +182,7 @@ def _possible(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and 1 + least(na - 1 - pa, nb - 1 - pb) >= {need}"
 
 
-def _verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, where: DataFrame, unique: bool, n: int, fragments: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, unique: bool, n: int, fragments: int, percent: int) -> DataFrame:
     """Of the pairs (a, b, na, nb) those that are similar, as (a, b). where: node and doc_id of one document each; unique: no id comes twice."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids, n_ids = compact(where.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("_id")))
@@ -194,7 +194,7 @@ def _verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, where: DataFrame,
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("y"))
     overlap = F.size(F.array_intersect("x", "y"))
     # The pairs go to the segments of their first ends, and these to the second.
-    met = left.join(small(each, n_pairs * fragments, 40), ["a", "fragment"])
+    met = left.join(each, ["a", "fragment"])
     partial = met.join(right, ["b", "fragment"]).select("a", "b", overlap.alias("shared"))
     total = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     return total.join(pairs, ["a", "b"]).where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
@@ -229,8 +229,8 @@ def links(docs: DataFrame, profiles: DataFrame, levels: np.ndarray, n: int, perc
             # Of each list: its length and its pairs across components.
             stats = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("cs"), F.sum(F.col("k") * F.col("k")).alias("sq"))
             stats = stats.where("cs > 1").select("key", ((F.col("m") * F.col("m") - F.col("sq")) / 2 <= LINEAR * F.col("m")).alias("few"))
-            stats, n_stats = compact(stats)
-            now, n_now = compact(now.join(small(stats, n_stats, 32), "key"))
+            stats, _ = compact(stats)
+            now, n_now = compact(now.join(stats, "key"))
             if not n_now:
                 break
         whole = F.lit(True) if last else (F.col("few") & F.lit(turn > 0))
@@ -240,9 +240,9 @@ def links(docs: DataFrame, profiles: DataFrame, levels: np.ndarray, n: int, perc
         first = F.row_number().over(Window.partitionBy("key").orderBy(*order))
         hubs = now.where(~whole).withColumn("r", first).where(F.col("r") <= (1 if turn == 0 else HUBS)).select("key", "node", "c", "n", "pos")
         left = now.where(whole).select("key", "node", "c", "n", "pos").withColumn("hub", F.lit(False)).unionByName(hubs.withColumn("hub", F.lit(True)))
-        left, n_left = compact(left.select("key", "hub", F.col("c").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")))
+        left, _ = compact(left.select("key", "hub", F.col("c").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")))
         right = now.select("key", F.col("c").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-        pairs = right.join(small(left, n_left, 64), "key").where("ca <> cb and (hub or ca < cb)").where(_possible(percent))
+        pairs = right.join(left, "key").where("ca <> cb and (hub or ca < cb)").where(_possible(percent))
         low_first = F.col("a") < F.col("b")
         pairs = pairs.select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(low_first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(low_first, F.col("nb")).otherwise(F.col("na")).alias("nb")
@@ -251,12 +251,11 @@ def links(docs: DataFrame, profiles: DataFrame, levels: np.ndarray, n: int, perc
         # Hubs were compared with all that is in other components; so were lists that were compared as a whole.
         rest = now.where(~whole).select("key", "node", "n", "pos")
         hubs = left.where("hub").select("key", F.col("a").alias("node"))
-        lists, n_lists = compact(rest.join(small(hubs, n_left, 24), ["key", "node"], "left_anti"))
+        lists, n_lists = compact(rest.join(hubs, ["key", "node"], "left_anti"))
         if n_pairs:
-            new = cut(_verified(pairs, n_pairs, docs, where, unique, n, fragments, percent))
+            new = cut(_verified(pairs, docs, where, unique, n, fragments, percent))
             edges = new if edges is None else edges.unionByName(new)
-            label, n_label = compact(components(edges))
-            label = small(label, n_label, 24)
+            label, _ = compact(components(edges))
         if last:
             break
     return edges if edges is not None else spark.createDataFrame([], "a long, b long")
@@ -269,8 +268,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = SKETC
     profiles = stored.where("part is null").select("doc_id", "n", "node", "other")
     levels = _levels(stored.where("part is not null").select("part", "counts"), bits)
     found = links(docs, profiles, levels, n, percent, bits, fragments)
-    label, n_label = compact(components(found))
-    label = small(label, n_label, 24)
+    label, _ = compact(components(found))
     rows = profiles.join(label, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("c"))
     rows = cut(rows)
     full = rows.where("n > 0")
