@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased and stripped to letters and digits. Every run of SEED_WORDS words of a test item is a seed; how
-many documents hold it is counted over all documents, and an item's seeds that are much more common than its typical
-one (over RARE times its median) are not used, so an item that leaked into very many documents still has seeds. Where
-a document has a seed, the item is aligned to that part of the document by words (match 1, mismatch and gap -0.5), so
-edited or paraphrased copies score too. score = best local alignment / words of the item.
+Words are lower-cased and stripped to letters and digits. Every run of SEED_WORDS words of a test item is a seed, however
+many documents hold it, so an item that leaked into very many documents still has all of its seeds. Where a document has
+a seed, the item is aligned to that part of the document by words (match 1, mismatch and gap -0.5), so edited or
+paraphrased copies score too. score = best local alignment / words of the item. Parts of documents that share too few
+words with the item to reach the threshold are set aside before they are aligned, exactly.
 
 Items come in blocks of at most BLOCK_SEEDS seeds, each a pass over the documents, so what is sent to executors is
 bounded however large the benchmark is. Hits of one document never leave its task.
@@ -16,6 +16,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +30,6 @@ from .common import cut, without_ids
 from .words import chained, coded, hashed, slices, split_words
 
 SEED_WORDS = 3
-RARE = 4
 THRESHOLD = 0.5
 BLOCK_SEEDS = 1_000_000
 RESULT = "doc_id long, item_id long, score double, first_word long, last_word long, seeds long"
@@ -76,6 +76,20 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best
 
 
+def reachable(item: np.ndarray, text: np.ndarray, threshold: float) -> bool:
+    """Whether an alignment's score can be threshold of the item's words: False only if it cannot.
+
+    Each match takes a word of the item and an equal one of the text, so there must be as many of both. A score of that
+    much leaves room for at most 2 (matches - score) mismatches and gaps, so they lie within so many words of the text.
+    """
+    need = threshold * len(item) - 1e-9
+    if np.isin(item, text).sum() < need:
+        return False
+    shared = np.concatenate([[0], np.cumsum(np.isin(text, item))])
+    span = min(len(text), math.ceil(3 * len(item) - 2 * need))
+    return bool((shared[span:] - shared[: len(shared) - span]).max() >= need)
+
+
 class Seeds:
     """Items of one block and the places of their seeds."""
 
@@ -91,25 +105,13 @@ class Seeds:
                 at.append(np.arange(len(h)))
                 length.append(np.full(len(h), n))
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        self._order(cat(hashes, np.uint64), cat(item, np.int64), cat(at, np.int64), cat(length, np.int64))
-
-    def _order(self, hashes: np.ndarray, item: np.ndarray, at: np.ndarray, length: np.ndarray) -> None:
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.item, self.at, self.length = hashes[order], item[order], at[order], length[order]
-        self.sizes = [int(x) for x in np.unique(length)]
+        self.hashes, self.item, self.at, self.length = cat(hashes, np.uint64), cat(item, np.int64), cat(at, np.int64), cat(length, np.int64)
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.item, self.at, self.length = self.hashes[order], self.item[order], self.at[order], self.length[order]
+        self.sizes = [int(x) for x in np.unique(self.length)]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def rare(self, found: dict[int, int]) -> None:
-        """Keep each item's seeds of at most RARE times its median count."""
-        counts = np.array([found.get(int(h), 0) for h in self.hashes.view(np.int64)], np.int64)
-        keep = np.zeros(len(counts), bool)
-        by = np.argsort(self.item, kind="stable")
-        for own in np.split(by, np.flatnonzero(np.diff(self.item[by])) + 1):
-            if len(own):
-                keep[own] = counts[own] <= RARE * max(1.0, float(np.median(counts[own])))
-        self._order(self.hashes[keep], self.item[keep], self.at[keep], self.length[keep])
-
     def hits(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The text, the word in it and the first entry of self.hashes for every seed in the texts."""
         text, place, seed = [], [], []
@@ -147,10 +149,11 @@ class Seeds:
                     group.append(s)
                     continue
                 a, z = max(0, group[0] - slack), min(len(words), group[-1] + len(item) + slack)
-                score, first, last = align(item, words[a:z])
-                got = (score / len(item), a + first, a + last, len(group))
-                if got[0] >= threshold and got[:1] > best.get(name, (0.0,))[:1]:
-                    best[name] = got
+                if reachable(item, words[a:z], threshold):
+                    score, first, last = align(item, words[a:z])
+                    got = (score / len(item), a + first, a + last, len(group))
+                    if got[0] >= threshold and got[:1] > best.get(name, (0.0,))[:1]:
+                        best[name] = got
                 group = [s]
         for name, got in sorted(best.items()):
             yield name, *got
@@ -171,26 +174,11 @@ def _blocks(benchmark: DataFrame, block_seeds: int) -> Iterator[Seeds]:
         yield Seeds(held)
 
 
-def _count(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(seeds.hashes), np.int64)
-        for b in slices(batches):
-            text, _, k = seeds.hits(*plain_words(b.column("text")))
-            both = np.unique(text * len(sums) + k) if len(sums) else text
-            sums += np.bincount(both % len(sums), minlength=len(sums)) if len(sums) else 0
-        held = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds.hashes[held].view(np.int64)), pa.array(sums[held])], names=["seed", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r["seed"]: r["n"] for r in rows.collect()}
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """RESULT: a row for each document and item of a score of threshold or more; words count from 0, the last included."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = None
     for seeds in _blocks(benchmark, block_seeds):
-        seeds.rare(_count(mine, seeds))
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):

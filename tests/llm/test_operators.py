@@ -283,6 +283,23 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, benchmark.where("false")).count() == 0
 
 
+def test_decontamination_of_a_common_edited_copy(spark):
+    item = [f"w{k}" for k in range(32)]
+    copy = " ".join("other" if k % 4 == 3 else w for k, w in enumerate(item))  # 8 of 30 seeds are left
+    docs, benchmark = table(spark, [f"before {copy} after {i}" for i in range(6)]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontam.contaminated(docs, benchmark).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(i, 7) for i in range(6)}
+    assert all(math.isclose(x.score, (24 - 7 * 0.5) / 32) for x in got)
+
+
+def test_only_hopeless_parts_are_not_aligned():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        item, text = r.integers(0, 12, r.integers(1, 12)).astype(np.uint64), r.integers(0, 12, r.integers(1, 60)).astype(np.uint64)
+        for threshold in (0.3, 0.5, 0.8, 1.0):
+            assert decontam.reachable(item, text, threshold) or decontam.align(item, text)[0] < threshold * len(item)
+
+
 def test_alignment_by_hand():
     def slow(item, text):
         h = [[0.0] * (len(text) + 1) for _ in range(len(item) + 1)]
