@@ -1,10 +1,11 @@
-"""Licence scans: TF-IDF cosine of lines to licence templates, then inheritance from the nearest ancestor directory.
-
-Every line of every text is compared with every template. A term's weight is its count times its inverse document
-frequency over all documents; terms of no template count as ones that no document has. A line can reach the threshold
-only if it has one of a template's heaviest terms (the rest of the template is too short a vector, by Cauchy-Schwarz),
-so lines without such a term are set aside by one pattern, exactly. A file's own licence is that of its best line. A
-file of which that line is half or more, or whose name says so, is a licence file, and its licence holds for its
+"""Licence scans: TF-IDF cosine of headers to licence templates, then inheritance from the nearest ancestor directory.
+
+Every window of up to WINDOW_LINES lines or WINDOW_SENTENCES sentences (which may go over several lines), and every text
+as a whole, is compared with every template. A sentence ends at a full stop before white space and a capital. A term's weight is its count times its inverse document
+frequency over all documents; terms of no template count as ones that no document has. A window can reach the threshold
+only if it has one of a template's rarest terms (the rest of the template is too short a vector, by Cauchy-Schwarz),
+so windows without such a term are set aside by one pattern, exactly. A file's own licence is that of its best window; a
+plain reservation of rights counts only where there is no licence. A file of which that window is half or more, or whose name says so, is a licence file, and its licence holds for its
 directory. Files without their own take that of the nearest directory above that has one, by a join on paths.
 
 Everything is DataFrame functions; nothing runs in Python on executors. Sent to them are the templates' terms only.
@@ -25,25 +26,53 @@ from pyspark.sql import functions as F
 
 from .common import cut, small, whole_text
 
-#: Short notices by licence identifier.
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, '
+    "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+#: The name of the notice that gives no licence.
+RESERVED = "LicenseRef-All-Rights-Reserved"
+#: Notices, titles of long licences and whole short licences by licence identifier.
 TEMPLATES = {
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "BSD-2-Clause": ["Released under the BSD 2-Clause License."],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License, Version 3, 19 November 2007", "This program is free software: " + _GNU.format("Affero General Public License", ",", 3)],
+    "Apache-2.0": ["Apache License, Version 2.0, January 2004", "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", _BSD + _BSD_END],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", _BSD + _BSD_NAMES + _BSD_END],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["Released into the public domain under CC0 1.0."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."],
-    "ISC": ["Released under the ISC License."],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "GNU General Public License, Version 2, June 1991", "This program is free software; " + _GNU.format("General Public License", ";", 2)],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.", "GNU General Public License, Version 3, 29 June 2007", "This program is free software: " + _GNU.format("General Public License", ",", 3)],
+    "ISC": ["Released under the ISC License.", _ISC],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License, Version 3, 29 June 2007", "This library is free software: " + _GNU.format("Lesser General Public License", ",", 3)],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", _MIT],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"],
+    RESERVED: ["All rights reserved."],
 }
 THRESHOLD = 0.8
+WINDOW_LINES, WINDOW_SENTENCES = 6, 3
 _TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+_SENTENCE_END = r"(?<=[.!?])(?=\s)[^\p{L}\p{N}]++(?=\p{Lu})"
 _FILE_NAME = r"(?i)/(licen[cs]e|copying|notice)[^/]*$"
 
 
@@ -64,11 +93,11 @@ def frequencies(files: DataFrame, terms: list[str], text: str = "text") -> tuple
     return found.pop("*", 0), found
 
 
-def _heavy(weights: dict[str, float], threshold: float) -> list[str]:
-    """The heaviest terms, as many as make the rest of the vector shorter than threshold of the whole."""
+def _anchors(weights: dict[str, float], idf: dict[str, float], threshold: float) -> list[str]:
+    """The rarest terms, as many as make the rest of the vector shorter than threshold of the whole."""
     total = rest = sum(w * w for w in weights.values())
     out = []
-    for t, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+    for t, w in sorted(weights.items(), key=lambda x: (-idf[x[0]], -x[1], x[0])):
         if rest < 0.999 * threshold * threshold * total:
             break
         out.append(t)
@@ -82,6 +111,12 @@ def _values(spark, rows: list[tuple], names: str) -> DataFrame:
     return spark.sql(f"select * from values {said} as t({names})")
 
 
+def _windows(parts: Column, most: int) -> Column:
+    """Every run of one to most parts, joined by a space."""
+    n = F.size(parts)
+    return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), n - i + 1)), lambda k: F.array_join(F.slice(parts, i, k), " "))))
+
+
 def ancestors(path: Column) -> Column:
     """Directories above path, from the root's child down: /a/b/c.txt has /a and /a/b (and the root, '')."""
     parts = F.split(path, "/")
@@ -89,7 +124,7 @@ def ancestors(path: Column) -> Column:
 
 
 def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, path: str = "path", text: str = "text") -> DataFrame:
-    """path, license, origin (own, licence file, inherited, none), score (of the file's own best line; 0 if none), from_dir."""
+    """path, license, origin (own, licence file, inherited, none), score (of the file's own best window; 0 if none), from_dir."""
     spark = files.sparkSession
     known = template_terms(templates)
     vocabulary = sorted({t for _, _, c in known for t in c})
@@ -97,10 +132,11 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
     idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
     unknown = math.log(1 + n) + 1
     weights = [(name, k, {t: m * idf[t] for t, m in c.items()}) for name, k, c in known]
-    anchors = sorted({t for _, _, w in weights for t in _heavy(w, threshold)})
+    anchors = sorted({t for _, _, w in weights for t in _anchors(w, idf, threshold)})
     pattern = r"(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in anchors) + r")(?![a-z0-9])"
     body = whole_text(text)
-    lines = F.when(F.lower(body).rlike(pattern), F.filter(F.split(body, "\n"), lambda x: F.lower(x).rlike(pattern))).otherwise(F.array().cast("array<string>"))
+    every = F.concat(_windows(F.split(body, "\n"), WINDOW_LINES), _windows(F.split(body, _SENTENCE_END), WINDOW_SENTENCES), F.array(body))
+    lines = F.when(F.lower(body).rlike(pattern), F.array_distinct(F.filter(every, lambda x: F.lower(x).rlike(pattern)))).otherwise(F.array().cast("array<string>"))
     rows = files.select(
         F.monotonically_increasing_id().alias("rid"),
         F.col(path).alias("path"),
@@ -119,8 +155,8 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
     unit = F.broadcast(_values(spark, table, "license, template, term, u"))
     dots = vector.join(unit, "term").groupBy("rid", "no", "license", "template").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
     scored = dots.join(norms, ["rid", "no"]).select("rid", "license", "part", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
-    # The best score, then the first name, then the longer part.
-    own = cut(scored.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", (-F.col("part")).alias("p"))).alias("best")).select("rid", "best.license", (-F.col("best.s")).alias("score"), (-F.col("best.p")).alias("part")))
+    # A licence before a reservation, the best score, then the first name, then the longer part.
+    own = cut(scored.groupBy("rid").agg(F.min(F.struct((F.col("license") == RESERVED).alias("r"), (-F.col("score")).alias("s"), "license", (-F.col("part")).alias("p"))).alias("best")).select("rid", "best.license", (-F.col("best.s")).alias("score"), (-F.col("best.p")).alias("part")))
     n_own = own.count()
     at = rows.select("rid", "path").join(small(own, n_own, 256), "rid", "left")
     is_file = F.col("license").isNotNull() & ((F.col("part") >= 0.5) | F.coalesce(F.col("path").rlike(_FILE_NAME), F.lit(False)))

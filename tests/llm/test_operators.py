@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -436,6 +437,25 @@ def test_licences(spark):
     assert licenses.scan(files.where("false")).count() == 0
 
 
+def test_wrapped_headers_and_whole_licences(spark):
+    wrapped = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version.
+ */
+int main;"""
+    around = "The first words of a long paragraph say much about other things of the day. {} Then it goes on with many further words, of weather and trade, up to its end."
+    mit = "MIT License\n\nCopyright (c) 2020 Someone. All rights reserved.\n\n" + "\n".join(textwrap.wrap(licenses.TEMPLATES["MIT"][-1], 76))
+    bsd = "Copyright 2020 Someone.\nAll rights reserved.\n\n" + "\n".join(textwrap.wrap(licenses.TEMPLATES["BSD-3-Clause"][-1], 76))
+    texts = {"/a/3.c": wrapped.format(3), "/a/2.c": wrapped.format(2), "/b/p.txt": around.format("Released under the MIT License."), "/m/x": mit, "/m/sub/y": "plain", "/n/x": bsd, "/r/x": "A text.\nAll rights reserved.", "/t/x": "GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nEveryone may copy this."}
+    others = [(f"/none/{i}", f"plain text of number {i}, and more words of it") for i in range(30)]
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame([*texts.items(), *others], "path string, text string")).collect()}
+    want = {"/a/3.c": "GPL-3.0", "/a/2.c": "GPL-2.0", "/b/p.txt": "MIT", "/m/x": "MIT", "/m/sub/y": "MIT", "/n/x": "BSD-3-Clause", "/r/x": licenses.RESERVED, "/t/x": "LGPL-3.0"}
+    assert {p: r.license for p, r in got.items() if r.license} == want
+    assert got["/m/x"].origin == got["/n/x"].origin == "licence file" and got["/m/sub/y"].from_dir == "/m"
+
+
 def test_licence_of_the_nearest_directory(spark):
     mit, gpl = "Released under the MIT License.", licenses.TEMPLATES["GPL-3.0"][0]
     files = [("/LICENSE", mit), ("/src/LICENSE", gpl), ("/src/a/x.txt", "plain"), ("/src/a/x.txt", "plain"), ("/doc/y.txt", None), ("/doc/z.txt", "own words here and more of them\n" + gpl + "\n" + "w " * 99), (None, "plain")]
