@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Every step is a grouped minimum (combined on the map side) and a join whose large groups Spark can split, so a
-vertex with very many links is no single task's work. Edges of each round are stored in the checkpoint folder.
+vertex with very many links is no single task's work. Edges of each round are stored in the checkpoint folder, in as
+few jobs as a round can do with: what the driver keeps of each job would add up.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact
+from .common import cut
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,16 +18,16 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label of every vertex of edges (a, b): label is the smallest vertex that can be reached. Loops are ignored."""
-    now, n = compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while n and (state := _state(now)) != before:
-        before = state
+    """node, label of every vertex of edges (a, b), of any type that has an order: label is the smallest vertex that can be reached. Loops are ignored."""
+    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before, state = None, _state(now)
+    while state[0] and state != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low, _ = compact(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large, _ = compact(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low, _ = compact(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        now, n = compact(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        before, state = state, _state(now)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)

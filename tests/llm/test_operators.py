@@ -151,13 +151,28 @@ def test_ngram_join(spark, corpus, n, percent, bits):
     assert [got[i] for i in range(len(corpus))] == want
 
 
-def test_ngram_join_needs_no_luck_with_hubs(spark, corpus, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 0)
-    monkeypatch.setattr(ngram_join, "LINEAR", 0)
-    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(table(spark, corpus), 4, 85).collect()}
+def test_ngram_join_deals_out_long_lists(spark, corpus, monkeypatch):
+    """Lists of a few classes already go in shares and blocks."""
+    monkeypatch.setattr(ngram_join, "GROUP", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "REMEMBERED", 2)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(table(spark, corpus), 4, 85, 10).collect()}
     assert [got[i] for i in range(len(corpus))] == [c for _, c in components_by_hand(corpus, 4, 85)]
 
 
+def test_near_duplicates_are_told_apart_by_row(spark):
+    """Ids that are null or repeated: the clean row of an id stays, the copy goes, whatever stands beside it."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta " * 3, "one two three four five six seven eight nine", "clean words that stand for nothing else here")
+    ids = [3, 7, 7, None, None, 9, 9, 9, 9, 4, 5]
+    texts = [a, a, b, a, c, c, "", "", None, " ", None]
+    kept = collections.Counter((r.doc_id, r.text) for r in ngram_join.near_deduplicated(table(spark, texts, ids)).collect())
+    # Of c the row of an id stays, not that without one.
+    want = collections.Counter([(3, a), (7, b), (9, c), (9, ""), (9, ""), (9, None), (4, " "), (5, None)])
+    assert kept == want
+    same = table(spark, [b, b, b], [2, 2, None])
+    assert [(r.doc_id, r.text) for r in ngram_join.near_deduplicated(same).collect()] == [(2, b)]
+
+
 def test_ngram_join_empty_and_filter(spark, corpus):
     docs = table(spark, corpus)
     assert ngram_join.ngram_join(docs.where("false")).count() == 0
