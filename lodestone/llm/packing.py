@@ -17,7 +17,6 @@ import bisect
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,80 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions
-from .words import coded, ragged, slices, split_words
+from .word_bpe import WordBpe
+from .words import ragged, slices
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 500_000
-#: Bytes of text worked on at once: the more, the fewer distinct words to look up.
-SLICE_BYTES = 6 << 20
+#: Bytes of text worked on at once.
+SLICE_BYTES = 3 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _tokenizers: dict = {}
 
 
-class WordIds:
-    """Token ids word by word. The vocabulary never joins across white space, so a text's ids are those of its words in turn."""
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
-        self.n = self.filled = 0
-        self._add("", [0])  # no word is empty: this entry is the end id
-
-    def _add(self, word: str, ids: list[int]) -> None:
-        while self.filled + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if self.n + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[self.filled : self.filled + len(ids)] = ids
-        self.filled += len(ids)
-        self.ends[self.n] = self.filled
-        self.known[word] = self.n
-        self.n += 1
-
-    def places(self, words: list[str]) -> np.ndarray:
-        if self.n + len(words) > max(CACHE_WORDS, len(words)):
-            self.reset()
-        known = self.known
-        at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(at < 0)
-        at[new] = self.n + np.arange(len(new))
-        if len(new):
-            unknown = [words[i] for i in new.tolist()]
-            for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-                self._add(w, e.ids)
-        return at
-
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids with an end id after each text, and where each text's ids begin."""
-        words, offsets = split_words(texts, lower=False)
-        codes, distinct = coded(words)
-        places = self.places(distinct.to_pylist())[codes] if len(codes) else codes
-        places = np.insert(places, offsets[1:], 0)
-        offsets = offsets + np.arange(len(offsets))
-        ends = self.ends[: self.n]
-        lengths = np.diff(ends, prepend=0)
-        take = lengths[places]
-        begin = (ends - lengths)[places]
-        flat = self.flat[np.repeat(begin, take) + ragged(take)]
-        sums = np.concatenate([[0], np.cumsum(take)])
-        return flat, sums[offsets]
-
-
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str) -> WordBpe:
+    """A worker's tokenizer; what it remembers serves all of the worker's tasks."""
     if path not in _tokenizers:
-        _tokenizers[path] = WordIds(path)
+        _tokenizers[path] = WordBpe(path)
     return _tokenizers[path]
 
 
