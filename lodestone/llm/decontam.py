@@ -9,9 +9,11 @@ words with the item to reach the threshold are set aside before they are aligned
 Items come in blocks of at most BLOCK_SEEDS seeds, each a pass over the documents, so what is sent to executors is
 bounded however large the benchmark is. Hits of one document never leave its task.
 
-Defined cases: null or empty texts and items match nothing; an item shorter than a seed is one seed; repeated documents
-each get their row; a repeated item_id gives one row per document and id, the best; an empty table gives no rows;
-further columns are ignored.
+Defined cases: null or empty texts and items match nothing; an item shorter than a seed is one seed; items without an
+item_id are matched like others and reported with a null id, the best of them in one row; repeated documents, and rows
+that share a doc_id or have none, each get their own rows; a repeated item_id gives one row per document and id, the
+best (of equal scores the first in the item's order, then in the text); an empty table gives no rows; further columns
+are ignored. The filter drops rows, not ids: it decides on each row's text alone.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without_ids
+from .common import fresh, whole_text
 from .words import chained, coded, hashed, slices, split_words
 
 SEED_WORDS = 3
@@ -130,16 +132,16 @@ class Seeds:
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return cat(text), cat(place), cat(seed)
 
-    def aligned(self, words: np.ndarray, hits: list[tuple[int, int]], threshold: float) -> Iterator[tuple[int, float, int, int, int]]:
-        """Of one text's hits (word, entry): item id, score, first and last word and number of seeds where the score is threshold or more."""
+    def aligned(self, words: np.ndarray, hits: list[tuple[int, int]], threshold: float) -> dict[int | None, tuple[float, int, int, int]]:
+        """Of one text's hits (word, entry), by item id: score, first and last word and number of seeds where the score is threshold or more."""
         begins: dict[int, list[int]] = defaultdict(list)
         for place, k in hits:
             h = self.hashes[k]
             while k < len(self.hashes) and self.hashes[k] == h:
                 begins[int(self.item[k])].append(place - int(self.at[k]))
                 k += 1
-        best: dict[int, tuple[float, int, int, int]] = {}
-        for i, starts in begins.items():
+        best: dict[int | None, tuple[float, int, int, int]] = {}
+        for i, starts in sorted(begins.items()):
             name, item = self.items[i]
             starts.sort()
             slack = len(item) // 2 + 2
@@ -155,16 +157,27 @@ class Seeds:
                     if got[0] >= threshold and got[:1] > best.get(name, (0.0,))[:1]:
                         best[name] = got
                 group = [s]
-        for name, got in sorted(best.items()):
-            yield name, *got
+        return best
+
+    def found(self, texts: pa.Array, threshold: float) -> Iterator[tuple[int, dict]]:
+        """Each text that holds an item of the block, by its place in texts, and what aligned says of it."""
+        words, offsets = plain_words(texts)
+        text, place, k = self.hits(words, offsets)
+        order = np.argsort(text, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(text[order])) + 1):
+            if len(own):
+                d = int(text[own[0]])
+                got = self.aligned(words[offsets[d] : offsets[d + 1]], list(zip(place[own].tolist(), k[own].tolist(), strict=True)), threshold)
+                if got:
+                    yield d, got
 
 
 def _blocks(benchmark: DataFrame, block_seeds: int) -> Iterator[Seeds]:
-    held: list[tuple[int, np.ndarray]] = []
+    held: list[tuple[int | None, np.ndarray]] = []
     n = 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).toLocalIterator():
         words, _ = plain_words(pa.array([r["text"]], pa.string()))
-        if r["item_id"] is not None and len(words):
+        if len(words):
             held.append((r["item_id"], words))
             n += len(words)
         if n >= block_seeds:
@@ -176,32 +189,46 @@ def _blocks(benchmark: DataFrame, block_seeds: int) -> Iterator[Seeds]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """RESULT: a row for each document and item of a score of threshold or more; words count from 0, the last included."""
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = None
+    spark = docs.sparkSession
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    out, blocks = None, 0
     for seeds in _blocks(benchmark, block_seeds):
+        sent = spark.sparkContext.broadcast(seeds)
 
-        def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
-                words, offsets = plain_words(b.column("text"))
-                text, place, k = seeds.hits(words, offsets)
-                ids = b.column("doc_id")
-                rows: list[tuple] = []
-                order = np.argsort(text, kind="stable")
-                for own in np.split(order, np.flatnonzero(np.diff(text[order])) + 1):
-                    if len(own):
-                        d = int(text[own[0]])
-                        hits = list(zip(place[own].tolist(), k[own].tolist(), strict=True))
-                        rows += [(ids[d].as_py(), *x) for x in seeds.aligned(words[offsets[d] : offsets[d + 1]], hits, threshold)]
+                ids, row = b.column("doc_id"), b.column("row")
+                rows = [(row[d].as_py(), ids[d].as_py(), name, *x) for d, got in sent.value.found(b.column("text"), threshold) for name, x in got.items()]
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["row", *[x.split()[0] for x in RESULT.split(", ")]])
 
-        got = mine.mapInArrow(run, RESULT)
+        got = mine.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, f"row long, {RESULT}")
         out = got if out is None else out.unionByName(got)
-    return out if out is not None else docs.sparkSession.createDataFrame([], RESULT)
+        blocks += 1
+    if out is None:
+        return spark.createDataFrame([], RESULT)
+    if blocks > 1:  # an id whose items are in several blocks
+        best = F.max(F.struct("score", (-F.col("first_word")).alias("f"), "last_word", "seeds")).alias("x")
+        out = out.groupBy("row", "doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.score", (-F.col("x.f")).alias("first_word"), "x.last_word", "x.seeds")
+    return out.select(*[x.split()[0] for x in RESULT.split(", ")])
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+    """The rows that hold no test item; all columns stay. A row's text decides alone, in its own task."""
+    spark = docs.sparkSession
+    # Texts of another type are cast for the search; the column itself stays as it is.
+    text = fresh(docs, "_searched")
+    out = docs.withColumn(text, whole_text())
+    for seeds in _blocks(benchmark, block_seeds):
+        sent = spark.sparkContext.broadcast(seeds)
 
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, text):
+                keep = np.ones(b.num_rows, bool)
+                keep[[d for d, _ in sent.value.found(b.column(text), threshold)]] = False
+                yield b.filter(pa.array(keep))
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no test item; all columns stay."""
-    return without_ids(docs, cut(contaminated(docs, benchmark, threshold).select("doc_id").distinct()))
+        out = out.mapInArrow(run, out.schema)
+    return out.select(*docs.columns)

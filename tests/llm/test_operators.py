@@ -299,6 +299,49 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, benchmark.where("false")).count() == 0
 
 
+def test_decontamination_is_by_row_and_by_item_id(spark):
+    """Repeated and missing ids of documents and items, ties, and items of one id in different blocks."""
+    one, two = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
+    texts, ids = [one, "clean words", two + " tail", "clean too", one, None], [1, 1, None, None, 2, 2]
+    docs = table(spark, texts, ids)
+    items = spark.createDataFrame([(5, one, "x"), (5, " ".join(one.split()[:18] + ["z", "y"]), "x"), (None, two, "x"), (5, two, "x")], "item_id long, text string, doc_id string")
+    for block in (decontam.BLOCK_SEEDS, 1):
+        got = sorted(((x.doc_id, x.item_id, x.score, x.first_word, x.last_word) for x in decontam.contaminated(docs, items, block_seeds=block).collect()), key=str)
+        assert got == sorted([(1, 5, 1.0, 0, 19), (2, 5, 1.0, 0, 19), (None, 5, 1.0, 0, 19), (None, None, 1.0, 0, 19)], key=str)
+        kept = decontam.decontaminated(docs, items, block_seeds=block).collect()
+        assert collections.Counter((x.doc_id, x.text) for x in kept) == collections.Counter([(1, "clean words"), (None, "clean too"), (2, None)])
+    assert decontam.decontaminated(docs, items.where("false")).count() == 6
+
+
+def test_decontamination_against_alignment_of_whole_texts(spark):
+    """Every pair of a text and an item that share a seed, aligned without windows or bounds."""
+    r = random.Random(9)
+    word = lambda: r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice("abcde")
+    items = [[word() for _ in range(r.randint(3, 25))] for _ in range(15)]
+    texts = []
+    for _ in range(60):
+        body = [word() for _ in range(r.randint(0, 80))]
+        for item in r.sample(items, 2):
+            at = r.randint(0, len(body))
+            body[at:at] = [word() if r.random() < 0.25 else w for w in item if r.random() > 0.1]
+        texts.append(" ".join(body))
+    code = {}
+    numbers = lambda ws: np.array([code.setdefault(w, len(code)) for w in ws], np.uint64)
+    want = {}
+    for d, t in enumerate(texts):
+        ws = t.split()
+        seeds = {tuple(ws[i : i + 3]) for i in range(len(ws) - 2)}
+        for k, item in enumerate(items):
+            score = decontam.align(numbers(item), numbers(ws))[0] / len(item)
+            if score >= decontam.THRESHOLD and any(tuple(item[i : i + 3]) in seeds for i in range(len(item) - 2)):
+                want[d, k] = score
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontam.contaminated(table(spark, texts), benchmark).collect()}
+    # A part that is aligned by itself may be less than the best of the whole text, or without its own seeds.
+    assert set(got) <= set(want) and all(got[k] <= want[k] + 1e-9 for k in got)
+    assert len(got) >= 0.95 * len(want) > 30
+
+
 def test_decontamination_of_a_common_edited_copy(spark):
     item = [f"w{k}" for k in range(32)]
     copy = " ".join("other" if k % 4 == 3 else w for k, w in enumerate(item))  # 8 of 30 seeds are left
