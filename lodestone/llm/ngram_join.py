@@ -45,6 +45,8 @@ FRAGMENTS = 8
 GROUP = 1 << 14
 #: Classes of a list that meet in a block of the second round: as many from either side.
 BLOCK = 1024
+#: Sizes that a candidate pair is held against before its segments meet: of its shingles by their last bits.
+PARTS = 256
 #: Classes whose copies a task remembers to send only once.
 REMEMBERED = 1 << 20
 
@@ -311,7 +313,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _segments(docs: DataFrame, n: int, order) -> DataFrame:
-    """node, fragment, part: each set cut at the pivots of the global order; fragments without a shingle have no row."""
+    """node, fragment, part: each set cut at the pivots of the global order; fragments without a shingle have no row. Fragment -1 has the set's counts by the last bits of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
@@ -319,16 +321,36 @@ def _segments(docs: DataFrame, n: int, order) -> DataFrame:
             s = Sets(b.column("text"), n)
             if not len(s.hashes):
                 continue
-            doc = np.repeat(np.arange(len(s.sizes)), s.sizes)
+            k = len(s.sizes)
+            doc = np.repeat(np.arange(k), s.sizes)
             level = o.level(s.hashes)
             by = np.lexsort((level, doc))  # stable: by hash within a level
             hashes = s.hashes[by]
             fragment = o.fragment(hashes, level[by])
             at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (fragment[1:] != fragment[:-1])]))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([at, [len(hashes)]]).astype(np.int32)), pa.array(_signed(hashes)))
-            yield pa.RecordBatch.from_arrays([_binary(s.identities()[doc[at]]), pa.array(fragment[at].astype(np.int32)), lists], names=["node", "fragment", "part"])
+            ids = s.identities()
+            yield pa.RecordBatch.from_arrays([_binary(ids[doc[at]]), pa.array(fragment[at].astype(np.int32)), lists, pa.nulls(len(at), pa.binary())], names=["node", "fragment", "part", "counts"])
+            counts = np.bincount(doc * PARTS + (s.hashes % np.uint64(PARTS)).astype(np.int64), minlength=k * PARTS).reshape(k, PARTS)
+            # Capped counts differ by no more than the counts themselves.
+            blobs = [x.tobytes() for x in np.minimum(counts, 255).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([_binary(ids), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["node", "fragment", "part", "counts"])
+
+    return docs.select("text").mapInArrow(run, "node binary, fragment int, part array<long>, counts binary")
+
+
+def _near_enough(percent: int):
+    """Pairs whose counts (x, y) leave room for the similarity: sets differ by at least as many shingles as their counts do."""
 
-    return docs.select("text").mapInArrow(run, "node binary, fragment int, part array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("x", "y"))
+            total = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            most = total - 2 * -(-percent * total // (100 + percent))
+            keep = pa.array(np.abs(x - y).sum(1, dtype=np.int64) <= most)
+            yield b.select(["a", "b", "na", "nb"]).filter(keep)
+
+    return run
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, n: int, order, percent: int) -> DataFrame:
@@ -340,13 +362,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, n: int, or
     mine = docs.join(small(ids, n_ids, 16), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     # An id may stand for several rows, and these for copies of a class.
     parts = cut(_segments(mine, n, order).join(small(nodes, n_nodes, 32), "node", "left_semi").dropDuplicates(["node", "fragment"]))
-    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(order.value.fragments - 1)))).select("a", "b", "fragment")
+    counts = parts.where("fragment < 0")
+    of_a, of_b = (counts.select(F.col("node").alias(x), F.col("counts").alias(y)) for x, y in (("a", "x"), ("b", "y")))
+    near = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_near_enough(percent), "a binary, b binary, na long, nb long")
+    near, _ = compact(near)
+    each = near.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(order.value.fragments - 1)))).select("a", "b", "fragment")
+    parts = parts.where("fragment >= 0")
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("x"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("y"))
     # The pairs go to the segments of their first ends, and these to the second.
     partial = left.join(each, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"))
     total = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    return total.join(pairs, ["a", "b"]).where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
+    return total.join(near, ["a", "b"]).where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
 
 
 def _left_over(members: DataFrame, label: DataFrame, n_label: int, percent: int) -> DataFrame:
