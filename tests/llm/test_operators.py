@@ -393,6 +393,56 @@ def test_language_id_cases(spark):
     assert langid.accepted(table(spark, ["the cat and the dog", None, "12"])).columns == table(spark, []).columns
 
 
+def test_language_by_hand(spark, monkeypatch):
+    """Ranks, distances and ties from their definitions; repeated rows and columns of the added names; cuts of long texts."""
+    r = random.Random(2)
+    train = [("aa", " ".join(r.choice(["der", "die", "und", "ein", "haus"]) for _ in range(60))), ("bb", " ".join(r.choice(["the", "and", "of", "house"]) for _ in range(60))), ("cc", "the and of"), ("aa", "zug"), ("dd", "the and of")]
+    texts = ["der und die", "the house of", "of", "xyz", "Haus THE und", "the and of", "the and of"]
+
+    def grams(text):
+        out = collections.Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            w = f"_{w}_"
+            out.update(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] != "_" and not (n == 3 and w[i + 1] == "_"))
+        return out
+
+    # Codes compare like the n-grams, with the blank after every letter.
+    code = lambda g: sum((langid.BLANK if c == "_" else ord(c)) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    rank = lambda c, size: {g: k for k, g in enumerate(sorted(c, key=lambda g: (-c[g], code(g)))[:size])}
+    sums = collections.defaultdict(collections.Counter)
+    for lang, t in train:
+        sums[lang].update(grams(t))
+    size = 20
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    learnt = langid.learn(spark.createDataFrame([(t, lang) for lang, t in train], "text string, lang string"), size)
+    profiles = {k: rank(v, size) for k, v in sums.items()}
+    assert learnt == {k: [code(g) for g in v] for k, v in profiles.items()}
+    want = []
+    for t in texts:
+        mine = rank(grams(t), size)
+        far = {k: sum(abs(v[g] - i) if g in v else size for g, i in mine.items()) for k, v in profiles.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        want.append((best, 1 - far[best] / (size * len(mine))))
+    got = [(x.lang_pred, x.score) for x in langid.predict(table(spark, texts), learnt, size).orderBy("doc_id").collect()]
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
+    long = " ".join(r.choice(["don't", "über", "été", "x1y"]) for _ in range(200))
+    monkeypatch.setattr(langid, "CHUNK", 1 << 20)
+    whole = langid.ngrams(long)
+    for n in (1, 5, 64):
+        monkeypatch.setattr(langid, "CHUNK", n)
+        assert all((a == b).all() for a, b in zip(whole, langid.ngrams(long)))
+
+
+def test_texts_in_no_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+    junk = [" ".join(word() for _ in range(300)) for _ in range(40)] + ["привет мир как дела", "#### 12 --", "", None]
+    made = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    kept = langid.accepted(docs.unionByName(made, allowMissingColumns=True)).select("doc_id").collect()
+    assert len(kept) == docs.count() and min(x.doc_id for x in kept) >= 0
+
+
 def test_ngrams_by_hand():
     codes, counts = langid.ngrams("Ab, ab é")
     decode = lambda c: "".join("_" if x == langid.BLANK else chr(x) for x in ((c >> 42) & 0x1FFFFF, (c >> 21) & 0x1FFFFF, c & 0x1FFFFF) if x)
