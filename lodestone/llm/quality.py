@@ -1,17 +1,24 @@
 """Quality scores by positive-unlabelled learning.
 
-A linear logistic model minimises the non-negative unbiased risk: trusted positives stand for class 1, unlabelled web
-text for the mixture, and the class prior says how much of the mixture is positive, so that its positive part can be
-subtracted; where the remaining estimate of the negatives' risk falls below zero, the step goes back up instead. The
-labels' share of positives is the prior; their few negatives only set the scale and shift of the logit at the end.
+A linear logistic model minimises the non-negative unbiased risk: trusted positives stand for class 1, web text as it
+comes (labelled or not) for the mixture, and the class prior says how much of the mixture is positive, so that its
+positive part can be subtracted; where the remaining estimate of the negatives' risk falls below zero, the step goes
+back up instead. Labelled negatives are never used.
+
+The prior is estimated from the mixture: two models, each fitted on one half (by hash of doc_id), score the other half.
+Above a threshold lie at least prior times as many texts of the mixture as of the positives, so the prior is where the
+two tails' ratio, with two standard errors added, is least. At the end the logit is scaled and shifted by the unbiased
+risk with this prior, which needs no negatives either.
 
 Features come from the whole text and nothing else: frequencies of bytes and of hashed byte pairs, and the shares of
-repeated words and lines, lengths and the like. The model is fitted on the driver on at most SAMPLE positives, SAMPLE
-unlabelled and SAMPLE negative texts (those of the smallest hash of doc_id); its size doesn't depend on the input.
+repeated words and lines, lengths and the like. Weights are fitted on the driver on at most SAMPLE positives and SAMPLE
+texts of the mixture (those of the smallest hash of doc_id); the prior and the logit's scale come from histograms of
+the scores of all rows of the mixture. What reaches the driver doesn't depend on the input's size.
 
 Defined cases: null and empty texts have the features of an empty text and get its score; repeated rows are scored
-each; without a positive everything scores the prior; a null doc_id is never sampled; of repeated labels the largest
-counts; an empty table gives no rows; further columns are ignored.
+each and count each; without a positive everything scores PRIOR; a null doc_id is never sampled, but is in the
+histograms; of repeated labels the largest counts, labels without a document do nothing; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +39,12 @@ SAMPLE = 8000
 PAIRS = 512
 STATS = 12
 FEATURES = 256 + PAIRS + STATS
-#: Used if no labelled row tells the share of positives.
+#: Where the estimate of the prior begins, and the score of everything if there is nothing to learn from.
 PRIOR = 0.5
+#: Histograms of logits go from -LOGIT to LOGIT in steps of 1/STEP.
+LOGIT, STEP = 64, 32
+#: The pull of the logit's scale towards 1: where texts part well the unbiased risk alone would drive all scores to 0 or 1.
+SCALE_PULL = 0.01
 
 
 def _byte_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +105,15 @@ class Model:
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, bias: float):
         self.mean, self.scale, self.weights, self.bias = mean, scale, weights, bias
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def logit(self, x: np.ndarray) -> np.ndarray:
         # Far outside what was seen, a feature counts no more than at eight deviations.
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, rate: float = 0.01, decay: float = 2e-3) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.01, decay: float = 2e-3) -> Model:
     """Non-negative unbiased risk with the logistic loss, by Adam on all rows."""
     rows = np.concatenate([positive, unlabelled])
     mean, scale = rows.mean(0), rows.std(0) + 1e-3
@@ -124,52 +137,105 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, w, b)
 
 
-def calibrated(model: Model, positive: np.ndarray, negative: np.ndarray, prior: float) -> Model:
-    """model with its logit scaled and shifted to fit labelled rows of both classes (Platt), weighted to the prior."""
-    if len(positive) < 20 or len(negative) < 20:
-        return model
-    rows = np.concatenate([positive, negative])
-    z = np.clip((rows - model.mean) / model.scale, -8, 8) @ model.weights + model.bias
-    # Targets short of 0 and 1, as many rows of either class are far from the border.
-    y = np.where(np.arange(len(rows)) < len(positive), 1 - 1 / (len(positive) + 2), 1 / (len(negative) + 2))
-    weight = np.where(np.arange(len(rows)) < len(positive), prior / len(positive), (1 - prior) / len(negative))
+def _centres() -> np.ndarray:
+    return (np.arange(2 * LOGIT * STEP) + 0.5) / STEP - LOGIT
+
+
+def _bins(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((z + LOGIT) * STEP), 0, 2 * LOGIT * STEP - 1).astype(np.int64)
+
+
+def tail_prior(positive: np.ndarray, mixture: np.ndarray) -> float:
+    """The prior from histograms of logits of positives and of the mixture: their tails' ratio where its upper bound is least."""
+    n, m = positive.sum(), mixture.sum()
+    p, u = np.cumsum(positive[::-1])[::-1] / n, np.cumsum(mixture[::-1])[::-1] / m
+    low = p - 2 * np.sqrt(p * (1 - p) / n)
+    bound = np.where(low > 0, (u + 2 * np.sqrt(u * (1 - u) / m)) / np.where(low > 0, low, 1), np.inf)
+    k = int(bound.argmin())
+    return float(np.clip(u[k] / p[k], 0.01, 0.99))
+
+
+def calibrated(model: Model, positive: np.ndarray, mixture: np.ndarray, prior: float) -> Model:
+    """model with its logit scaled and shifted to least unbiased logistic risk; positive and mixture: histograms of logits."""
+    z = _centres()
     x = np.stack([z, np.ones(len(z))], 1)
+    goal = prior * (positive @ x) / positive.sum()
+    weight = mixture / mixture.sum()
+    pull = np.array([SCALE_PULL, 1e-9])
+    risk = lambda c: weight @ np.logaddexp(0, x @ c) - goal @ c + pull @ (c - [1, 0]) ** 2 / 2
     c = np.array([1.0, 0.0])
-    for _ in range(50):
+    for _ in range(200):
         q = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-        h = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-6 * np.eye(2)
-        c = c + np.clip(np.linalg.solve(h, x.T @ (weight * (y - q))), -1, 1)
+        step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(pull), (weight * q) @ x - goal + pull * (c - [1, 0]))
+        rate = 1.0
+        while rate > 1e-6 and risk(c - rate * step) > risk(c):
+            rate /= 2
+        if rate <= 1e-6:
+            break
+        c = c - rate * step
     return Model(model.mean, model.scale, model.weights * c[0], model.bias * c[0] + c[1]) if c[0] > 0 else model
 
 
-def _sampled(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
-    """Features of at most `most` of the documents named by ids (distinct)."""
+_FOLD = "cast(coalesce(pmod(xxhash64(doc_id), 2), 0) as int)"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("fold", F.expr(_FOLD))
+
+
+def _sampled(docs: DataFrame, ids: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of at most `most` of the documents named by ids (distinct), and their halves."""
     chosen = ids.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = features(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("fold"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "fold", "x"])
+
+    rows = _rows(docs.join(F.broadcast(chosen), "doc_id", "left_semi"))
+    got = rows.mapInArrow(run, "doc_id long, fold int, x binary").toPandas()
+    got = got.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
+    return np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, FEATURES), got["fold"].to_numpy()
+
+
+def _histograms(docs: DataFrame, models: list[Model]) -> np.ndarray:
+    """For each model the histogram of its logits over the rows of its fold; one model has all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(models), 2 * LOGIT * STEP), np.int64)
+        for b in slices(batches):
+            x, fold = features(b.column("text")), b.column("fold").to_numpy()
+            for k, m in enumerate(models):
+                own = x[fold == k] if len(models) > 1 else x
+                out[k] += np.bincount(_bins(m.logit(own)), minlength=out.shape[1])
+        k, at = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(out[k, at])], names=["k", "bin", "n"])
+
+    out = np.zeros((len(models), 2 * LOGIT * STEP))
+    for r in _rows(docs).mapInArrow(run, "k int, bin int, n long").groupBy("k", "bin").agg(F.sum("n").alias("n")).collect():
+        out[r["k"], r["bin"]] = r["n"]
+    return out
+
 
-    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    got = rows.mapInArrow(run, "doc_id long, x binary").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
-    return np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, FEATURES)
+def _counted(z: np.ndarray) -> np.ndarray:
+    return np.bincount(_bins(z), minlength=2 * LOGIT * STEP).astype(float)
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | float:
-    """The model from labels (doc_id, quality) and the other texts of docs; the prior alone if there is no positive."""
+    """The model from the positives of labels (doc_id, quality) and all of docs; PRIOR if there is no positive."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n, good = known.agg(F.count(F.lit(1)), F.sum("quality")).first()
-    prior = float(np.clip(good / n, 0.01, 0.99)) if n else PRIOR
-    positive = _sampled(docs, known.where("quality = 1").select("doc_id"), most)
-    ids = docs.select("doc_id").distinct()
-    unlabelled = _sampled(docs, ids.join(labels.select("doc_id"), "doc_id", "left_anti"), most)
-    if len(unlabelled) < 50:  # nearly everything is labelled: the labelled texts are then the mixture
-        unlabelled = _sampled(docs, ids, most)
-    if not len(positive) or not len(unlabelled):
-        return prior
-    return calibrated(fit(positive, unlabelled, prior), positive, _sampled(docs, known.where("quality = 0").select("doc_id"), most), prior)
+    p, p_fold = _sampled(docs, known.where("quality = 1").select("doc_id"), most)
+    u, u_fold = _sampled(docs, docs.select("doc_id").distinct(), most)
+    if not len(p) or not len(u):
+        return PRIOR
+    prior = PRIOR
+    if all((f == k).any() for f in (p_fold, u_fold) for k in (0, 1)):
+        # A half is scored by the model of the other.
+        models = [fit(p[p_fold != k], u[u_fold != k], PRIOR, steps=300) for k in (0, 1)]
+        mixture = _histograms(docs, models)
+        prior = float(np.mean([tail_prior(_counted(m.logit(p[p_fold == k])), mixture[k]) for k, m in enumerate(models)]))
+    model = fit(p, u, prior)
+    return calibrated(model, _counted(model.logit(p)), _histograms(docs, [model])[0], prior)
 
 
 def scored(docs: DataFrame, model: Model | float) -> DataFrame:

@@ -456,11 +456,33 @@ def test_quality_on_held_out_texts(spark):
     assert sum(r.predicted == r.quality for r in found) >= 0.93 * len(found)
 
 
+def test_prior_and_scale_without_negatives():
+    """Two normal classes whose posterior is known: the prior is found from the tails, and the logit is brought back to it."""
+    r = np.random.default_rng(8)
+    for prior in (0.3, 0.6, 0.85):
+        good, all_ = r.normal(2, 1, 4000), np.where(r.random(20_000) < prior, r.normal(2, 1, 20_000), r.normal(-2, 1, 20_000))
+        p, u = quality._counted(good), quality._counted(all_)
+        found = quality.tail_prior(p, u)
+        assert abs(found - prior) < 0.06
+        # The true logit is 4 z + log(prior / (1 - prior)); the model's is z.
+        model = quality.calibrated(quality.Model(np.zeros(1), np.ones(1), np.ones(1), 0.0), p, u, prior)
+        assert 1.5 < model.weights[0] < 6  # pulled towards 1
+        truth = 1 / (1 + np.exp(-(4 * all_ + np.log(prior / (1 - prior)))))
+        assert np.abs(model.score(all_[:, None]) - truth).mean() < 0.05
+
+
 def test_quality_cases(spark):
     docs, none = table(spark, [None, "", "a b", "x" * 100_000]), spark.createDataFrame([], "doc_id long, quality long")
     assert {r.score for r in quality.scored(docs, quality.learn(docs, none)).collect()} == {quality.PRIOR}
     assert quality.scored(docs.where("false"), 0.5).count() == 0
     assert np.isfinite(quality.features(pa.array([None, "", "é", "a\n\na", " "]))).all()
+    # Repeated rows and labels, a label without a document, null ids, one positive alone.
+    texts, ids = ["good words here", "good words here", "junk", None, "zzz"], [1, 1, 2, None, 3]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (99, 1)], "doc_id long, quality long")
+    model = quality.learn(table(spark, texts, ids), labels)
+    got = quality.scored(table(spark, texts, ids), model).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 1, 2, 3] and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 1}) == 1
 
 
 # --- HTML
