@@ -51,6 +51,9 @@ EXTRA_RULES = (
 )
 RULES = BASE_RULES + EXTRA_RULES
 
+#: Spans of a text that are gathered at a time.
+RUN = 512
+
 LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
 
 
@@ -61,16 +64,21 @@ def _spans(text: Column, rule: Rule) -> Column:
     between = F.split(text, rule.pattern, -1)
     parts = F.zip_with(F.zip_with(between, found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit"))), held, lambda x, y: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.length(y).alias("held")))
     empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    # Spans are gathered in runs, as adding to an array copies it.
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,end:int>>>)").alias("runs"), empty.alias("run"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.coalesce(x["gap"], F.lit(0))
         end = begin + F.coalesce(x["hit"], F.lit(0))
         span = F.array(F.struct(begin.alias("start"), end.alias("end")))
         good = x["hit"].isNotNull() & (F.coalesce(x["held"], F.lit(0)) >= max(rule.least, 1))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        full = F.size(acc["run"]) >= RUN
+        runs = F.when(full, F.concat(acc["runs"], F.array(acc["run"]))).otherwise(acc["runs"])
+        run = F.when(full, empty).otherwise(acc["run"])
+        return F.struct(end.alias("at"), runs.alias("runs"), F.when(good, F.concat(run, span)).otherwise(run).alias("run"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, start, step, lambda acc: acc["spans"])).otherwise(empty)
+    whole = F.aggregate(parts, start, step, lambda acc: F.concat(F.flatten(acc["runs"]), acc["run"]))
+    return F.when(text.rlike(rule.pattern), whole).otherwise(empty)
 
 
 def versions(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -134,6 +142,14 @@ def count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def scan_all(files: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text") -> DataFrame:
-    """A first scan: everything is unseen. The findings are stored before they are joined to the paths."""
-    return report(files, cut(scan(files, None, rules, text).where(F.size("spans") > 0)), rules, path, text)
+def scan_all(files: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text", increment: Column | None = None, increments: int = 1) -> DataFrame:
+    """All of files through one ledger, an increment (0 to increments - 1, null: 0) after the other: each scans what those before it left unseen.
+
+    The ledger keeps clean triples, too, so a blob that came before is not scanned again, whatever it gave.
+    """
+    ledger = None
+    for k in range(increments):
+        part = files if increment is None or increments == 1 else files.where(F.coalesce(increment, F.lit(0)) == k)
+        new = cut(scan(part, ledger, rules, text))
+        ledger = new if ledger is None else ledger.unionByName(new)
+    return report(files, ledger, rules, path, text)

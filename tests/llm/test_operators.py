@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("lodestone.llm.queries")
 
@@ -107,6 +108,17 @@ def test_secret_spans(spark):
         assert got[i].s == spans_by_hand(t, {x.kind for x in secrets.RULES}), t
 
 
+def test_secret_increments_and_long_runs(spark):
+    """The ledger in increments gives what one scan gives, and no triple twice; a text of very many matches is whole."""
+    many = " ".join(f"token=abcdef{i}" for i in range(3000))
+    texts = [*TRICKY, *TRICKY, many]
+    docs = table(spark, texts)
+    kinds = tuple(x.kind for x in secrets.RULES)
+    found = secrets.scan_all(docs, path="doc_id", increment=F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3), increments=3)
+    got = {r.path: r.s for r in found.select("path", secrets.joined(F.col("spans"), kinds).alias("s")).collect()}
+    assert got == {i: spans_by_hand(t, set(kinds)) for i, t in enumerate(texts)}
+
+
 def test_secret_ledger_scans_only_what_is_new(spark):
     docs = table(spark, TRICKY)
     first = secrets.scan(docs, None, secrets.BASE_RULES).cache()
