@@ -5,7 +5,7 @@ weights depend on how often v was seen (buckets of powers of two) and are learne
 held-out counts: a tenth of the training texts is scored with its own counts deleted. EM runs on the driver over a
 histogram of fixed size (bucket and two logarithms in steps of 1/8), whatever the corpus.
 
-How counts get to texts: n-grams are 56-bit hashes. A task works on blocks of documents; for each block it sends its
+How counts get to texts: n-grams are 64-bit hashes. A task works on blocks of documents; for each block it sends its
 sorted distinct n-grams, with counts, as one packed row per range of hashes. A range sums them over all blocks and
 sends each block the sums for its own n-grams, in the same order. A common n-gram is one entry per block, so no key is
 hot. The block's words travel as places in its word list; nothing is joined row by row.
@@ -28,13 +28,15 @@ from .common import cut, shuffle_partitions
 from .words import _FNV, coded, hashed, mixed, slices, split_words
 
 BLOCK_BYTES = 10 << 20
-#: N-grams that a range holds on average.
+#: N-grams that a range holds on average, up to a gigabyte of text; beyond, ranges grow with the square root of the input, to WIDEST
+#: times as many, so that there are fewer rows of a block and a range. A row has an n-gram at least, so rows never outgrow the input.
 RANGE_KEYS = 1 << 20
+WIDEST = 4
 BUCKETS = 48
 STEPS = 8
 #: Tokens that the weights of all buckets together count for in each.
 STRENGTH = 20.0
-_BITS = 56
+_BITS = 64
 _Q = 64 * STEPS
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _PACKED = "block long, r int, a binary, b binary, c binary, d binary"
@@ -284,15 +286,21 @@ def score(docs: DataFrame, fold: Column) -> DataFrame:
     # The scan's own partition, the same in both readings: a block is named by it and its place in it.
     rows = rows.withColumn("part", F.spark_partition_id().cast("long"))
     size = rows.agg(F.sum(F.octet_length("text")), F.sum((F.col("fold") > 0).cast("long")), F.sum((F.col("fold") == 2).cast("long"))).first()
-    bits = max(0, int(np.ceil(np.log2(max(1.0, (size[0] or 0) / 6 / RANGE_KEYS)))))
+    text_bytes = size[0] or 0
+    wide = min(WIDEST, max(1.0, (text_bytes / 2.0**30) ** 0.5))
+    bits = max(0, int(np.ceil(np.log2(max(1.0, text_bytes / 6 / (RANGE_KEYS * wide))))))
     parts = shuffle_partitions(spark)
     sums = rows.mapInArrow(_sent(bits), _PACKED).repartition(parts, "r").sortWithinPartitions("r").mapInArrow(_summed, _PACKED)
     both = sums.unionByName(rows.mapInArrow(_streams, _PACKED)).repartition(parts, "block").sortWithinPartitions("block", "r")
     ready = cut(both.mapInArrow(_ready, _PACKED))
-    totals = np.zeros(3, np.int64)
-    for r in ready.where("block = -1").select("a").toLocalIterator():
-        totals += np.frombuffer(r["a"], np.uint64).astype(np.int64)
-    tokens, deleted, distinct = (int(x) for x in totals)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column("a").to_pylist()), np.int64).reshape(-1, 3).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in x], names=["x", "y", "z"])
+
+    totals = ready.where("block = -1").select("a").mapInArrow(summed, "x long, y long, z long").agg(F.sum("x"), F.sum("y"), F.sum("z")).first()
+    tokens, deleted, distinct = (int(x or 0) for x in totals)
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, int] = {}

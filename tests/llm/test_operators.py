@@ -276,6 +276,34 @@ def test_lm_base_and_model(spark, corpus):
     assert [r.n_known for r in alone] == [0, 0] and all(np.isfinite(r.score) and r.score <= 0 for r in alone)
 
 
+def test_lm_score_by_brute_force(spark, corpus):
+    """Counts by dictionaries, the held-out histogram token by token, and the mixture from its formula."""
+    texts = corpus + corpus[:40]
+    fold = [0 if i % 10 == 0 else 2 if i % 10 == 1 else 1 for i in range(len(texts))]
+    tokens = [[*words(t), None] for t in texts]
+    pairs = [list(zip(["<s>", *t[:-1]], t)) for t in tokens]
+    count = lambda xs, least: collections.Counter(y for x, f in zip(xs, fold) for y in x if f in least)
+    one, two, one_held, two_held = count(tokens, (1, 2)), count(pairs, (1, 2)), count(tokens, (2,)), count(pairs, (2,))
+    starts, starts_held = sum(f > 0 for f in fold), sum(f == 2 for f in fold)
+    n, v = sum(one.values()), len(one)
+    step = lambda x: int(lm._steps(np.array([float(x)]))[0])
+    histogram = collections.Counter()
+    for p, f in zip(pairs, fold):
+        for a, w in p if f == 2 else []:
+            left, both, alone = one[a] - one_held[a], two[a, w] - two_held[a, w], one[w] - one_held[w]
+            b = lm.BUCKETS if a == "<s>" else int(lm.bucket(np.array([float(left)]))[0])
+            histogram[(b * lm._Q + step(both if a == "<s>" else both / left if left else 0)) * lm._Q + step(alone)] += 1
+    weights = lm.expectation_maximisation(histogram, n - sum(one_held.values()), v, starts - starts_held)
+    found = {r.doc_id: r.score for r in lm.score(table(spark, texts), F.when(F.col("doc_id") % 10 == 0, 0).when(F.col("doc_id") % 10 == 1, 2).otherwise(1)).collect()}
+    for i, p in enumerate(pairs):
+        want = 0.0
+        for a, w in p:
+            seen = starts if a == "<s>" else one[a]
+            x = weights[int(lm.bucket(np.array([float(seen)]))[0])]
+            want += math.log10(x[0] * (two[a, w] / seen if seen else 0) + x[1] * one[w] / n + x[2] / (v + 1))
+        assert math.isclose(found[i], want, rel_tol=1e-9), i
+
+
 def test_em_weights_sum_to_one():
     code = ((5 * lm._Q + 300) * lm._Q) + 280
     w = lm.expectation_maximisation({code: 10, code + 3: 4, 7: 2}, 1000, 50, 10)
