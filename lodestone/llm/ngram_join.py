@@ -353,15 +353,17 @@ def _near_enough(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, n: int, order, percent: int) -> DataFrame:
-    """Of the pairs (a, b, na, nb) those that are similar, as (a, b)."""
+def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, repeated: bool, n: int, order, percent: int) -> DataFrame:
+    """Of the pairs (a, b, na, nb) those that are similar, as (a, b). repeated: some id stands for several rows."""
     nodes, n_nodes = compact(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     own = profiles.where("n > 0").join(small(nodes, n_nodes, 32), "node", "left_semi")
     # One text of each class is enough.
     ids, n_ids = compact(own.groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct())
     mine = docs.join(small(ids, n_ids, 16), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    # An id may stand for several rows, and these for copies of a class.
-    parts = cut(_segments(mine, n, order).join(small(nodes, n_nodes, 32), "node", "left_semi").dropDuplicates(["node", "fragment"]))
+    parts = _segments(mine, n, order)
+    if repeated:  # an id's rows may be of other classes, or copies of one
+        parts = parts.join(small(nodes, n_nodes, 32), "node", "left_semi").dropDuplicates(["node", "fragment"])
+    parts = cut(parts)
     counts = parts.where("fragment < 0")
     of_a, of_b = (counts.select(F.col("node").alias(x), F.col("counts").alias(y)) for x, y in (("a", "x"), ("b", "y")))
     near = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_near_enough(percent), "a binary, b binary, na long, nb long")
@@ -405,12 +407,13 @@ def links(docs: DataFrame, profiles: DataFrame, levels: np.ndarray, n: int, perc
     none = spark.createDataFrame([], "node binary, label binary")
     if not n_pairs:
         return none
-    edges = cut(_verified(pairs, docs, profiles, n, order, percent))
+    repeated = not profiles.groupBy("doc_id").count().where("count > 1").isEmpty()
+    edges = cut(_verified(pairs, docs, profiles, repeated, n, order, percent))
     label, n_label = compact(components(edges))
     more = _ordered(_left_over(members, label, n_label, percent)).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more, n_more = compact(more)
     if n_more:
-        new = cut(_verified(more, docs, profiles, n, order, percent))
+        new = cut(_verified(more, docs, profiles, repeated, n, order, percent))
         label = components(edges.unionByName(new))
     return label
 
