@@ -5,6 +5,9 @@ Items stream past the queries, and each partition keeps its best k per query bef
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +23,40 @@ def normalised(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn("_n", n).withColumn(column, F.when(F.col("_n") > 0, F.transform(column, lambda x: x.cast("double") / F.col("_n"))).otherwise(F.col(column))).drop("_n")
 
 
+def scored_pairs(queries: DataFrame, items: DataFrame, least: float | None = None, key: str = "query_id", q: str = "q", v: str = "v") -> Iterator[DataFrame]:
+    """All columns of both sides and score, a block of at most about BLOCK counted queries at a time; vectors are dropped."""
+    n = queries.count()
+    blocks = max(1, -(-n // BLOCK))
+    for part in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == part)
+        pairs = items.crossJoin(F.broadcast(own)).withColumn("score", dot(F.col(q), F.col(v))).drop(q, v)
+        yield pairs if least is None else pairs.where(F.col("score") >= least)
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """VEC-01: query_id, item_id, score, rank: the k items of the largest inner product, ties by item_id. queries and items: (query_id, q) and (item_id, v)."""
-    n = queries.count()
-    out = None
-    for part in range(max(1, -(-n // BLOCK))):
-        own = queries if n <= BLOCK else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK))) == part)
-        pairs = items.crossJoin(F.broadcast(own)).select("query_id", "item_id", dot(F.col("q"), F.col("v")).alias("score"))
-        pairs = pairs if least is None else pairs.where(F.col("score") >= least)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-        best = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
+    best = [x.select("query_id", "item_id", "score").withColumn("rank", rank).where(F.col("rank") <= k) for x in scored_pairs(queries, items, least)]
+    return reduce(DataFrame.unionByName, best)
+
+
+def nearest_centroids(items: DataFrame, cents: DataFrame, k: int, least: float | None = None) -> DataFrame:
+    """VEC-06, VEC-10: items' columns but v, with centroid and score: the k nearest of each, ties by centroid. cents: (centroid, c).
+
+    Every block of counted centroids is one row that goes to all tasks; an item keeps its best k without a shuffle.
+    """
+    n = cents.count()
+    blocks = max(1, -(-n // BLOCK))
+    best = F.expr("cast(array() as array<struct<s:double,centroid:bigint>>)")
+    out = items.withColumn("_best", best)
+    for part in range(blocks):
+        own = cents if blocks == 1 else cents.where(F.pmod(F.xxhash64("centroid"), F.lit(blocks)) == part)
+        row = F.broadcast(own.agg(F.collect_list(F.struct(F.col("centroid").cast("long").alias("centroid"), "c")).alias("_cents")))
+        found = F.transform("_cents", lambda x: F.struct((-dot(F.col("v"), x["c"])).alias("s"), x["centroid"].alias("centroid")))
+        found = found if least is None else F.filter(found, lambda x: x["s"] <= -least)
+        out = out.crossJoin(row).withColumn("_best", F.slice(F.array_sort(F.concat("_best", found)), 1, k)).drop("_cents")
+    out = out.drop("v").withColumn("_b", F.explode("_best"))
+    return out.withColumn("centroid", F.col("_b.centroid")).withColumn("score", -F.col("_b.s")).drop("_b", "_best")
 
 
 def similarity_edges(pairs: DataFrame, high: float = 0.85, low: float = 0.80, fill: int = 3) -> DataFrame:

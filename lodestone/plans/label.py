@@ -16,11 +16,11 @@ from .stats import _COOC, _HIST, _WV, work_vocabulary
 _T = ("works", "authorships", "authors", "terms", "vocabulary")
 _SIM = _WV + _COOC + """, deg AS (SELECT voc_id, count(*) AS degree FROM wv GROUP BY voc_id),
     sim AS (SELECT p.voc_id AS src, p.partner AS dst, freq / sqrt(a.degree * b.degree) AS score FROM partners p JOIN deg a ON a.voc_id = p.voc_id JOIN deg b ON b.voc_id = p.partner)"""
-_SKILL = """, skill AS (SELECT DISTINCT o_custkey AS job_id, voc_id FROM orders JOIN wv ON work_id = o_orderkey), jobs AS (SELECT c_nationkey % 5 AS query_id, c_custkey AS job_id FROM customer WHERE c_custkey % 20 = 0)"""
+_SKILL = """, skill AS (SELECT DISTINCT o_custkey AS job_id, voc_id FROM orders JOIN wv ON work_id = o_orderkey), jobs AS (SELECT c_nationkey % 5 AS query_id, c_custkey AS job_id FROM customer)"""
 _ANCH = _SKILL + """, cov AS (SELECT voc_id, count(DISTINCT job_id) / (SELECT count(DISTINCT job_id) FROM skill) AS coverage FROM skill GROUP BY voc_id),
     anchors AS (SELECT query_id, voc_id, count(DISTINCT job_id) AS job_freq, any_value(coverage) AS coverage FROM jobs JOIN skill USING (job_id) JOIN cov USING (voc_id) WHERE coverage < 0.95 GROUP BY query_id, voc_id)"""
 _HITS = """, seeds AS (SELECT query_id, voc_id, job_freq / 10.0 AS score FROM anchors), idfs AS (SELECT voc_id, log10((SELECT count(*) FROM works) / (degree + 1)) AS idf FROM deg WHERE degree / (SELECT count(*) FROM works) < 0.3),
-    hits AS (SELECT s.query_id, w.work_id, s.voc_id, idf, year, score FROM seeds s JOIN idfs USING (voc_id) JOIN wv w ON w.voc_id = s.voc_id JOIN works USING (work_id) WHERE query_id = 1)"""
+    hits AS (SELECT s.query_id, w.work_id, s.voc_id, idf, year, score FROM seeds s JOIN idfs USING (voc_id) JOIN wv w ON w.voc_id = s.voc_id JOIN works USING (work_id))"""
 _PAIRS = """, pairs AS (SELECT query_id, work_id, voc_id, idf, score * idf * CASE WHEN 2001 - year <= 3 THEN 1.0 WHEN 2001 - year <= 6 THEN 0.5 WHEN 2001 - year <= 10 THEN 0.2 ELSE 0.01 END AS value,
         (work_id % 100) / 400.0 AS grounding, (work_id % 7) / 7.0 AS align FROM hits),
     gated AS (SELECT query_id, work_id, voc_id, idf, role, value FROM (SELECT *, row_number() OVER (PARTITION BY query_id, voc_id, role ORDER BY value DESC, work_id) AS r FROM (
@@ -34,7 +34,7 @@ def skills(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, d: str) -> DataFrame:
-    return X.raw(spark, d, "customer").where("c_custkey % 20 = 0").select((F.col("c_nationkey") % 5).alias("query_id"), F.col("c_custkey").alias("job_id"))
+    return X.raw(spark, d, "customer").select((F.col("c_nationkey") % 5).alias("query_id"), F.col("c_custkey").alias("job_id"))
 
 
 def similar(spark: SparkSession, d: str) -> DataFrame:
@@ -60,9 +60,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return anchors(spark, d).select("query_id", "voc_id", score.alias("score"))
 
 
-@query("join21_similar_terms", _SIM + " SELECT src AS anchor, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM sim WHERE score >= 0.1 AND src % 2 = 0) WHERE r <= 5", *_T)
+@query("join21_similar_terms", _SIM + " SELECT src AS anchor, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM sim WHERE score >= 0.1) WHERE r <= 5", *_T)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return graph.expanded(X.vocabulary(spark, d).where("voc_id % 2 = 0").select(F.col("voc_id").alias("anchor")), similar(spark, d), 0.1, 5)
+    return graph.expanded(X.vocabulary(spark, d).select(F.col("voc_id").alias("anchor")), similar(spark, d), 0.1, 5)
 
 
 @query("join36_landings", _SIM + _ANCH + """, near AS (SELECT query_id, voc_id AS anchor, dst, score, row_number() OVER (PARTITION BY query_id, voc_id ORDER BY score DESC, dst) AS r FROM anchors JOIN sim ON src = voc_id WHERE score >= 0.1)
@@ -72,7 +72,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    terms = anchors(spark, d).where("query_id = 1").select("query_id", "voc_id", (F.col("job_freq") / 10.0).alias("score"))
+    terms = anchors(spark, d).select("query_id", "voc_id", (F.col("job_freq") / 10.0).alias("score"))
     return L.hits(terms, work_vocabulary(spark, d), X.works(spark, d), 0.3)
 
 
@@ -151,11 +151,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("voc_id", "cross", "drift", L.term_score(F.col("score"), F.col("cross"), F.col("score"), F.col("drift"), F.col("score")).alias("total"))
 
 
-@query("join23_job_to_author_path", _SIM + _SKILL + """, st AS (SELECT job_id, voc_id FROM skill WHERE job_id IN (20, 40, 60)), hop AS (SELECT job_id, coalesce(dst, voc_id) AS voc_id FROM st LEFT JOIN (SELECT * FROM sim WHERE score > 0.7) ON src = voc_id)
-    SELECT job_id, author_id, count(DISTINCT work_id) AS works FROM (SELECT DISTINCT job_id, voc_id FROM hop WHERE voc_id % 10 = 0) JOIN wv USING (voc_id) JOIN authorships USING (work_id) GROUP BY 1, 2""", *_T)
+@query("join23_job_to_author_path", _SIM + _SKILL + """, st AS (SELECT job_id, voc_id FROM skill WHERE job_id % 50 = 0), hop AS (SELECT job_id, coalesce(dst, voc_id) AS voc_id FROM st LEFT JOIN (SELECT * FROM sim WHERE score > 0.7) ON src = voc_id)
+    SELECT job_id, author_id, count(DISTINCT work_id) AS works FROM (SELECT DISTINCT job_id, voc_id FROM hop) JOIN wv USING (voc_id) JOIN authorships USING (work_id) GROUP BY 1, 2""", *_T)
 def _(spark: SparkSession, d: str) -> DataFrame:
+    # A search: every fiftieth job asks, against all terms, works and authors.
     near = similar(spark, d).where("score > 0.7").select(F.col("src").alias("voc_id"), "dst")
-    hop = skills(spark, d).where(F.col("job_id").isin(20, 40, 60)).join(near, "voc_id", "left").select("job_id", F.coalesce("dst", "voc_id").alias("voc_id")).where("voc_id % 10 = 0").distinct()
+    hop = skills(spark, d).where("job_id % 50 = 0").join(near, "voc_id", "left").select("job_id", F.coalesce("dst", "voc_id").alias("voc_id")).distinct()
     return hop.join(work_vocabulary(spark, d), "voc_id").join(X.authorships(spark, d), "work_id").groupBy("job_id", "author_id").agg(F.countDistinct("work_id").alias("works"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +52,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return X.raw(spark, d, "part").select("p_partkey", F.explode(F.filter(names, lambda w: F.contains(F.lower("p_name"), w))).alias("name"))
 
 
-@query("join29_cross_anchor_pairs", f"""WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, {_DOT} AS sim FROM embeddings a, embeddings b WHERE a.label <> b.label AND a.vec_id % 25 = 0 AND b.vec_id % 25 = 1)
+@query("join29_cross_anchor_pairs", f"""WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, {_DOT} AS sim FROM embeddings a, embeddings b WHERE a.label <> b.label AND a.vec_id % 50 = 0)
     SELECT a, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s WHERE sim >= 0.05) WHERE r <= 4""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = X.raw(spark, d, "embeddings")
-    left = F.broadcast(e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("embedding").alias("va")))
-    pairs = e.where("vec_id % 25 = 1").crossJoin(left).where("la <> label").select("a", F.col("vec_id").alias("b"), W.dot(F.col("va"), F.col("embedding")).alias("sim")).where("sim >= 0.05")
-    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where("r <= 4").drop("r")
+    left = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("embedding").alias("q"))
+    blocks = V.scored_pairs(left, e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("v")), 0.05, key="a")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
+    best = [x.where("la <> label").select("a", "b", F.col("score").alias("sim")).withColumn("r", rank).where("r <= 4").drop("r") for x in blocks]
+    return reduce(DataFrame.unionByName, best)
 
 
 @query("agg12_sum_and_max_per_target", "SELECT l_suppkey AS target, sum(m) AS total, max(m) AS best FROM (SELECT l_suppkey, l_partkey, max(l_quantity) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1")
@@ -65,9 +69,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return best.groupBy(F.col("l_suppkey").alias("target")).agg(F.sum("m").alias("total"), F.max("m").alias("best"))
 
 
-@query("agg24_collected_lists", " SELECT work_id, string_agg(author_id || ':' || pos_index, ',' ORDER BY pos_index, author_id) AS authors FROM authorships WHERE work_id % 10 = 0 GROUP BY work_id", *_T)
+@query("agg24_collected_lists", " SELECT work_id, string_agg(author_id || ':' || pos_index, ',' ORDER BY pos_index, author_id) AS authors FROM authorships GROUP BY work_id", *_T)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.authorships(spark, d).where("work_id % 10 = 0").groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("pos_index", "author_id"))).alias("a"))
+    rows = X.authorships(spark, d).groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("pos_index", "author_id"))).alias("a"))
     return rows.select("work_id", F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["author_id"].cast("string"), x["pos_index"].cast("string"))), ",").alias("authors"))
 
 
@@ -157,18 +161,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return X.raw(spark, d, "part").select("p_partkey", F.lower(F.trim("p_name")).alias("norm"), F.size(parts).cast("long").alias("tokens"), F.element_at(parts, -1).alias("head"))
 
 
-@query("vec10_domain_selection", "WITH " + _CENT[2:] + """, s AS (SELECT vec_id, c.label AS domain, sum(e.x * c.x) AS score FROM (SELECT vec_id, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 10 = 0) e JOIN cent c USING (i) GROUP BY 1, 2)
+@query("vec10_domain_selection", "WITH " + _CENT[2:] + """, s AS (SELECT vec_id, c.label AS domain, sum(e.x * c.x) AS score FROM (SELECT vec_id, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) e JOIN cent c USING (i) GROUP BY 1, 2)
     SELECT vec_id AS query_id, domain, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, domain) AS r FROM s) WHERE r <= 3""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = X.raw(spark, d, "embeddings")
-    domains = V.centroids(e.select("label", F.col("embedding").alias("v")), "label").select(F.col("label").alias("item_id"), "v")
-    return V.top_k(e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), domains, 3).select("query_id", F.col("item_id").alias("domain"), "score")
+    domains = V.centroids(e.select("label", F.col("embedding").alias("v")), "label").select(F.col("label").alias("centroid"), F.col("v").alias("c"))
+    return V.nearest_centroids(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), domains, 3).withColumnRenamed("centroid", "domain")
 
 
-@query("vec11_filtered_neighbours", f"SELECT query_id, item_id, score FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {_DOT} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 7 AND b.label % 2 = 0 AND {_DOT} >= 0.1) WHERE r <= 6")
+@query("vec11_filtered_neighbours", f"SELECT query_id, item_id, score FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {_DOT} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.label % 2 = 0 AND {_DOT} >= 0.1) WHERE r <= 6")
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = X.raw(spark, d, "embeddings")
-    queries = e.where("vec_id % 50 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return V.top_k(queries, e.where("label % 2 = 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")), 6, 0.1).select("query_id", "item_id", "score")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +38,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     q AS (SELECT *, count(*) FILTER (WHERE score >= 0.25) OVER (PARTITION BY src) AS n, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM p WHERE score >= 0.1)
     SELECT src, dst, score FROM q WHERE score >= 0.25 OR (n < 3 AND r <= 3)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    e = X.raw(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    a = F.broadcast(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("src"), F.col("embedding").alias("q"), F.col("label").alias("la")))
-    pairs = e.crossJoin(a).where("la <> label").select("src", F.col("vec_id").alias("dst"), W.dot(F.col("q"), F.col("embedding")).alias("score"))
-    return V.similarity_edges(pairs, 0.25, 0.1)
+    e = X.raw(spark, d, "embeddings")
+    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("src"), F.col("embedding").alias("q"), F.col("label").alias("la"))
+    blocks = V.scored_pairs(a, e.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("v"), "label"), 0.1, key="src")
+    # A source is in one block, so each block's edges are whole.
+    return reduce(DataFrame.unionByName, [V.similarity_edges(x.where("la <> label"), 0.25, 0.1) for x in blocks])
 
 
 _CENT = """, m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY label, i),
@@ -51,9 +54,8 @@ _CENT = """, m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT lab
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = X.raw(spark, d, "embeddings")
     cent = V.centroids(e.select("label", F.col("embedding").alias("v")), "label").select(F.col("label").alias("query_id"), F.col("v").alias("q"))
-    pairs = e.crossJoin(F.broadcast(cent)).select("vec_id", F.col("query_id").alias("cluster"), W.dot(F.col("embedding"), F.col("q")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "cluster"))
-    return pairs.withColumn("r", rank).where("r <= 2 and score >= 0.3").drop("r")
+    items = e.select("vec_id", F.col("embedding").alias("v"))
+    return V.nearest_centroids(items, cent.select(F.col("query_id").alias("centroid"), F.col("q").alias("c")), 2, 0.3).withColumnRenamed("centroid", "cluster")
 
 
 @query("vec08_cluster_factor", "WITH " + _CENT[2:] + ", s AS (SELECT vec_id, sum(e.x * c.x) AS sim FROM (SELECT vec_id, label, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) e JOIN cent c USING (label, i) GROUP BY 1) SELECT vec_id, 0.9 + 0.1 * pow(least(greatest(sim, 0), 1), 1.5) AS factor FROM s")

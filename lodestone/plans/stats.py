@@ -139,10 +139,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).groupBy("group").agg(F.min(F.struct((-F.col("p")).alias("r"), "domain_id"))["domain_id"].alias("main_domain"), F.max("p").alias("p"))
 
 
-@query("join31_cooc_within_set", _WV + _COOC + """, s AS (SELECT voc_id FROM vocabulary WHERE entity_type = 'concept' AND voc_id % 2 = 0) SELECT a, b, freq, (b IN (SELECT voc_id FROM s)) AS both_in
+@query("join31_cooc_within_set", _WV + _COOC + """, s AS (SELECT voc_id FROM vocabulary WHERE entity_type = 'concept') SELECT a, b, freq, (b IN (SELECT voc_id FROM s)) AS both_in
     FROM cooc WHERE a IN (SELECT voc_id FROM s)""", *_T)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    chosen = X.vocabulary(spark, d).where("entity_type = 'concept' and voc_id % 2 = 0").select("voc_id")
+    chosen = X.vocabulary(spark, d).where("entity_type = 'concept'").select("voc_id")
     cooc = S.cooccurrence(work_vocabulary(spark, d)).join(chosen.withColumnRenamed("voc_id", "a"), "a", "left_semi")
     return cooc.join(chosen.select(F.col("voc_id").alias("b"), F.lit(True).alias("in")), "b", "left").select("a", "b", "freq", F.coalesce("in", F.lit(False)).alias("both_in"))
 

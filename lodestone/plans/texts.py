@@ -15,9 +15,9 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return X.raw(spark, d, "documents")
 
 
-@query("str01_parsed_terms", "SELECT doc_id, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), ';'), '[|;,]'), lambda p: lower(trim(p))), lambda p: p <> ''))) AS term FROM documents WHERE n_chars < 2000 AND lang = 'en'")
+@query("str01_parsed_terms", "SELECT doc_id, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), ';'), '[|;,]'), lambda p: lower(trim(p))), lambda p: p <> ''))) AS term FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).where("n_chars < 2000 and lang = 'en'").select("doc_id", F.explode(T.parsed_terms(F.translate("text", "\n", ";"))).alias("term"))
+    return docs(spark, d).select("doc_id", F.explode(T.parsed_terms(F.translate("text", "\n", ";"))).alias("term"))
 
 
 @query("str02_domains", "SELECT o_orderkey, unnest(list_distinct(string_split(CAST(o_custkey % 17 + 1 AS VARCHAR) || '|' || CAST(o_orderkey % 3 + 1 AS VARCHAR), '|'))) AS domain FROM orders WHERE o_orderkey % 5 <> 0")
@@ -81,15 +81,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return part.select("p_partkey", T.restored(index).alias("text"))
 
 
-@query("str18_surface_terms", "SELECT doc_id, unnest(list_slice(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{9,}')), 1, 10000)) AS surface FROM documents WHERE n_chars < 3000")
+@query("str18_surface_terms", "SELECT doc_id, unnest(list_slice(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{9,}')), 1, 10000)) AS surface FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).where("n_chars < 3000").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{9,}"), F.lit(0)))).alias("surface"))
+    return docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{9,}"), F.lit(0)))).alias("surface"))
 
 
-@query("str19_title_mentions", r"SELECT doc_id, n_name FROM documents, (SELECT lower(n_name) AS n_name FROM nation UNION ALL SELECT 'the' UNION ALL SELECT 'license') WHERE CASE WHEN regexp_matches(n_name, '^[a-z]{1,5}$') THEN regexp_matches(lower(text), '\b' || n_name || '\b') ELSE contains(lower(text), n_name) END AND n_chars < 1000")
+@query("str19_title_mentions", r"SELECT doc_id, n_name FROM documents, (SELECT lower(n_name) AS n_name FROM nation UNION ALL SELECT 'the' UNION ALL SELECT 'license') WHERE CASE WHEN regexp_matches(n_name, '^[a-z]{1,5}$') THEN regexp_matches(lower(text), '\b' || n_name || '\b') ELSE contains(lower(text), n_name) END")
 def _(spark: SparkSession, d: str) -> DataFrame:
     names = X.raw(spark, d, "nation").select(F.lower("n_name").alias("n_name")).unionByName(spark.sql("select 'the' as n_name union all select 'license'"))
-    return docs(spark, d).where("n_chars < 1000").crossJoin(F.broadcast(names)).where(T.mentions(F.col("text"), F.col("n_name"))).select("doc_id", "n_name")
+    return docs(spark, d).crossJoin(F.broadcast(names)).where(T.mentions(F.col("text"), F.col("n_name"))).select("doc_id", "n_name")
 
 
 @query("str20_coverage", "SELECT doc_id, (contains(lower(text), 'the')::INT + contains(lower(text), 'license')::INT + contains(lower(text), 'que')::INT + contains(lower(text), 'und')::INT) / 4.0 AS coverage FROM documents")
