@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .common import compact, cut, fresh, shuffle_partitions, small, without_ids
 from .components import components
-from .words import SLICE_BYTES, chained, coded, hashed, mixed, slices, split_words
+from .words import chained, coded, hashed, mixed, slices, split_words
 
 #: The sketch has 2**SKETCH_BITS counters; it only orders and deals out shingles, so its errors cost time, never links.
 SKETCH_BITS = 22
@@ -186,7 +186,7 @@ def _postings(docs: DataFrame, n: int, order, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
         seen: set[bytes] = set()
-        for b in slices(batches, size=SLICE_BYTES):
+        for b in slices(batches):
             s = Sets(b.column("text"), n)
             ids = s.identities()
             level = o.level(s.hashes)
@@ -317,7 +317,7 @@ def _segments(docs: DataFrame, n: int, order) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
-        for b in slices(batches, size=SLICE_BYTES // 2):
+        for b in slices(batches):
             s = Sets(b.column("text"), n)
             if not len(s.hashes):
                 continue

@@ -29,7 +29,7 @@ from .words import ragged, slices
 
 CAPACITY = 2048
 #: Bytes of text worked on at once.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _tokenizers: dict = {}

@@ -121,6 +121,7 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.merges = Merges(model["vocab"], model["merges"])
+        del model
         self.kind, self.low = _characters()
         self.remembered = remembered
         self.mask = np.uint64((1 << (2 * remembered - 1).bit_length()) - 1)
@@ -224,10 +225,10 @@ class WordBpe:
                 rest = q + 1 + n
                 start[rest[letters[rest] == _LETTER]] = True
         at = np.flatnonzero(start)
-        solid = np.flatnonzero(~space)
+        solid = np.flatnonzero(~space).astype(np.int32)
         if not len(solid):
             return at, np.zeros(0, np.int64)
-        run = np.cumsum(start[solid]) - 1
+        run = np.cumsum(start[solid], dtype=np.int32) - 1
         length = np.bincount(run, minlength=len(at))
         # Words that are left to the library.
         bad = kind[solid] == _ODD
@@ -256,8 +257,8 @@ class WordBpe:
             entry[kept_odd] = odd
         if len(begin):
             first = np.cumsum(length) - length
-            k = np.arange(len(solid)) - first[run]
-            value = low[solid].astype(np.uint64)
+            k = (np.arange(len(solid), dtype=np.int32) - first[run]).astype(np.int8)
+            value = low[solid]
             a, b = (np.add.reduceat(value * w[k], first) for w in _weights)
             found = self._lookup(a, b)
             if (found < 0).any():

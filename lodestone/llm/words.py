@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text is worked on in slices of about this many bytes (one document at least), so that memory stays level.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def release() -> None:
