@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.graph import dense_ids
+from .operators.storage import once
+
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,14 +56,14 @@ def terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    """voc_id, term, entity_type: term order gives the ids; the vocabulary is small by nature and numbered in one place."""
-    from pyspark.sql import Window
-
+    """voc_id, term, entity_type: the order of terms gives the ids; numbered by range partitions, once for each input."""
     part = raw(spark, d, "part")
     each = part.select(F.explode(F.split("p_name", " ")).alias("term"), F.lit("concept").alias("entity_type"))
     each = each.unionByName(part.select(F.col("p_brand").alias("term"), F.lit("keyword").alias("entity_type"))).unionByName(part.select(F.col("p_type").alias("term"), F.lit("industry").alias("entity_type")))
-    each = each.select(F.lower("term").alias("term"), "entity_type").distinct()
-    return each.select(F.row_number().over(Window.orderBy("term", "entity_type")).alias("voc_id"), "term", "entity_type")
+    # The lowest character between the two keeps their order.
+    key = each.select(F.concat_ws("\u0001", F.lower("term"), "entity_type").alias("key"))
+    parts = F.split("key", "\u0001")
+    return once(spark, "vocabulary", d, lambda: dense_ids(key, "key", 1).select(F.col("id").alias("voc_id"), parts[0].alias("term"), parts[1].alias("entity_type")))
 
 
 #: Names of CTES in the order in which they may use each other.

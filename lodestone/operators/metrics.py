@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def ranking_metrics(ranked: DataFrame, k: int) -> DataFrame:
     """AGG-38: query_id, precision, recall, ndcg, ap at k. Gain is 2^grade - 1; the ideal order is by grade."""
@@ -22,8 +24,14 @@ def ranking_metrics(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    """AGG-38: one row, the area under the curve of (score, y) from counts by score: ties count half, and nothing is sorted in one task but distinct scores."""
+    """AGG-38: one row, the area under the curve of (score, y) from counts by score: ties count half. Scores are summed up in range partitions, whose totals (a row each) are put in order."""
     by = scored.groupBy("score").agg(F.sum(F.col("y")).alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = by.withColumn("below", below)
+    parts = stored(by.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    first, at = [], 0
+    for r in parts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        first.append((r["part"], at))
+        at += r["n"]
+    offsets = F.broadcast(scored.sparkSession.createDataFrame(first, "part int, before long"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pairs = parts.join(offsets, "part").withColumn("below", F.col("before") + inside)
     return pairs.agg((F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))) / (F.sum("p") * F.sum("n"))).alias("auc"))

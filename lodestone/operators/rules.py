@@ -84,9 +84,9 @@ def genericity(term: Column, span: Column, works: Column) -> Column:
     return F.when(F.trim(F.coalesce(term, F.lit(""))) == "", 1.0).otherwise(F.greatest(F.lit(0.1), broad * control))
 
 
-def smoothed_idf(degree: Column, idf: Column) -> Column:
-    """The middle step of MTH-03's smoothing: 1 below 10 works, rising to 1.5 at 50, then the idf itself."""
-    return F.when(degree < 10, 1.0).when(degree < 50, 1.0 + 0.5 * (degree - 10.0) / 40.0).otherwise(idf)
+def smoothed_idf(degree: Column) -> Column:
+    """MTH-03, smoothed: 1 below 10 works, rising to 1.5 at 50, 0.9 from there on."""
+    return F.when(degree < 10, 1.0).when(degree < 50, 1.0 + 0.5 * (degree - 10.0) / 40.0).otherwise(0.9)
 
 
 def anchor_factor(task: Column, carrier: Column, base: float = 0.35, gain: float = 0.65) -> Column:

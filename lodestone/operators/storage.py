@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df from a checkpoint. The folder is that of spark.checkpoint.dir; sessions without one (tests) get their own."""
+    """df from a checkpoint in the folder that spark.checkpoint.dir names. A session of one process may do without (tests); on a cluster a local folder would be no one else's."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lodestone-checkpoints"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[[^\],]+(,\s*\d+)?\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "lodestone-checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def once(spark: SparkSession, name: str, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, stored; a later call of the application with the same name and input path gets the same table."""
+    key = (spark.sparkContext.applicationId, name, path)
+    if key not in _kept:
+        for old in [k for k in _kept if k[0] != key[0]]:
+            del _kept[old]
+        _kept[key] = stored(make())
+    return _kept[key]

@@ -60,3 +60,38 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 def demanded(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """FLT-28: df, which fails to be read if a row breaks the condition."""
     return df.where(F.when(F.coalesce(condition, F.lit(False)), True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
+def merged_nodes(base: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """SNK-11: nodes of new keys join base; of known ones the properties that rows give (not null) replace base's, others stay."""
+    columns = [c for c in rows.columns if c != key]
+    new = rows.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
+    joined = base.withColumn("_there", F.lit(True)).join(new, key, "full")
+    every = [*base.columns, *[c for c in columns if c not in base.columns]]
+    return joined.select(*[F.col(c) if c not in columns else (F.coalesce(f"_new_{c}", c) if c in base.columns else F.col(f"_new_{c}")).alias(c) for c in every])
+
+
+def pending(items: DataFrame, done: DataFrame, key: str, final: tuple[str, ...] = ("SUCCESS", "NOT_FOUND", "SKIPPED")) -> DataFrame:
+    """STM-09: items without a final status in done (key, status); API_ERROR is tried again."""
+    return items.join(done.where(F.col("status").isin(*final)).select(key).distinct(), key, "left_anti")
+
+
+def status_set(done: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """STM-09: done with the newest status of each key."""
+    return upserted(done, results, [key])
+
+
+def due(stamps: DataFrame, column: str, now: str, days: int) -> DataFrame:
+    """STM-08: one row, due: whether the newest stamp is days old or more, or there is none."""
+    last = F.max(column)
+    return stamps.agg((last.isNull() | (F.datediff(F.lit(now).cast("date"), last.cast("date")) >= days)).alias("due"))
+
+
+def swapped(df: DataFrame, table: str) -> None:
+    """SNK-21: df in place of a catalogue table, which may be one that df reads, with fresh statistics."""
+    spark = df.sparkSession
+    made = f"{table}_new"
+    df.write.mode("overwrite").saveAsTable(made)
+    spark.sql(f"drop table if exists {table}")
+    spark.sql(f"alter table {made} rename to {table}")
+    spark.sql(f"analyze table {table} compute statistics")

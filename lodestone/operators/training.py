@@ -15,8 +15,8 @@ def graded(rows: DataFrame) -> DataFrame:
 
 
 def _drawn(seed: int, *keys: str) -> Column:
-    """A number that is as good as random, and the same in every run."""
-    return F.xxhash64(F.lit(seed), *keys)
+    """A string whose order is as good as random, the same in every run and engine."""
+    return F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *[F.col(k).cast("string") for k in keys]))
 
 
 def tiered_negatives(pool: DataFrame, per_query: int, seed: int = 42) -> DataFrame:
@@ -31,7 +31,7 @@ def tiered_negatives(pool: DataFrame, per_query: int, seed: int = 42) -> DataFra
 
 def negative_tails(triples: DataFrame, first: int, last: int, seed: int = 42) -> DataFrame:
     """ML-02: for each triple a tail drawn evenly from first..last."""
-    return triples.withColumn("negative", F.lit(first) + F.pmod(_drawn(seed, "h", "r", "t"), F.lit(last - first + 1)))
+    return triples.withColumn("negative", F.lit(first) + F.conv(F.substring(_drawn(seed, "h", "r", "t"), 1, 8), 16, 10).cast("long") % (last - first + 1))
 
 
 def sampled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -79,3 +79,50 @@ def mean_pair_cosine(items: DataFrame, group: str) -> DataFrame:
     sums = items.select(group, F.posexplode("v").alias("i", "x")).groupBy(group, "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("q"), F.count(F.lit(1)).alias("n"))
     out = sums.groupBy(group).agg(F.sum(F.col("s") * F.col("s")).alias("s"), F.sum("q").alias("q"), F.max("n").alias("n"))
     return out.select(group, "n", F.when(F.col("n") > 1, (F.col("s") - F.col("q")) / (F.col("n") * (F.col("n") - 1))).otherwise(0.0).alias("mean_cosine"))
+
+
+def clustered(items: DataFrame, k: int = 700, seed: int = 42, rounds: int = 20) -> DataFrame:
+    """VEC-05: cluster, c: normalised centroids of k-means on unit vectors (id, v); k is at most the number of items less one, two at least."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    unit = normalised(items, "v").withColumn("features", array_to_vector(F.transform("v", lambda x: x.cast("double"))))
+    n = items.count()
+    model = KMeans(k=min(k, max(2, n - 1)), seed=seed, maxIter=rounds).fit(unit.select("features"))
+    cents = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    return normalised(items.sparkSession.createDataFrame(cents, "cluster long, c array<double>"), "c")
+
+
+def cluster_expansion(seeds: DataFrame, members: DataFrame, most_seeds: int = 15, least: float = 0.6, top: int = 5, decay: float = 0.2) -> DataFrame:
+    """VEC-09: id, score, support of the members that a query's best seeds bring in.
+
+    seeds: id, sim, all of them; members: id, cluster, score, v (unit), a row for each cluster of a term. The most_seeds most similar seeds
+    bring in, from their best cluster, their `top` nearest members of inner product `least` or more that are no seeds; a member's score is the
+    largest of decay x seed similarity x inner product. Ties go to the smaller id.
+    """
+    best = Window.partitionBy("id").orderBy(F.desc("score"), "cluster")
+    home = members.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("id", F.col("cluster").alias("c"), F.col("v").alias("q"))
+    chosen = seeds.orderBy(F.desc("sim"), "id").limit(most_seeds).join(home, "id").select(F.col("id").alias("seed"), "sim", "c", "q")
+    others = members.join(seeds.select("id"), "id", "left_anti").select("id", "cluster", "v").distinct()
+    pairs = others.join(F.broadcast(chosen), F.col("cluster") == F.col("c")).withColumn("near", dot(F.col("q"), F.col("v"))).where(F.col("near") >= least)
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("near"), "id"))
+    kept = pairs.withColumn("_r", rank).where(F.col("_r") <= top).withColumn("score", decay * F.col("sim") * F.col("near")).where("score > 0")
+    return kept.groupBy("id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("support"))
+
+
+def dense_expansion(seeds: DataFrame, items: DataFrame, k: int = 24) -> DataFrame:
+    """VEC-12: seed, id, score: of each seed's k nearest items those near enough to it and to its anchor that are no seeds; 3 of a strong seed, 2 of another, 1 of a weak one.
+
+    seeds: seed, q (unit), anchor (unit vector), tier (weak or not), strong; items: id, v (unit). Least similarity 0.80 and 0.72 to the anchor, 0.84 and 0.78 for weak seeds.
+    """
+    mine = seeds.select(F.col("seed").alias("query_id"), "q", "anchor", "tier", "strong")
+    weak = F.col("tier") == "weak"
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    out = []
+    for pairs in scored_pairs(mine, items.withColumn("_v", F.col("v"))):
+        near = pairs.withColumn("_near", dot(F.col("anchor"), F.col("_v"))).withColumn("_k", rank).where(F.col("_k") <= k)
+        near = near.where((F.col("score") >= F.when(weak, 0.84).otherwise(0.80)) & (F.col("_near") >= F.when(weak, 0.78).otherwise(0.72)))
+        free = near.join(seeds.select(F.col("seed").alias("id")), "id", "left_anti")
+        keep = F.when(weak, 1).when(F.col("strong"), 3).otherwise(2)
+        out.append(free.withColumn("_r", rank).where(F.col("_r") <= keep).select(F.col("query_id").alias("seed"), "id", "score"))
+    return reduce(DataFrame.unionByName, out)

@@ -9,6 +9,7 @@ from .. import fixtures as X
 from ..config import DEFAULT
 from ..functions import weights as W
 from ..operators import collaboration as C
+from ..operators.storage import once
 from .registry import query
 
 _T = ("works", "authorships", "authors")
@@ -39,7 +40,7 @@ def weighted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def network(spark: SparkSession, d: str, top: int = 20) -> DataFrame:
-    return C.collaboration(C.direct_scores(weighted(spark, d)), top)
+    return once(spark, f"network {top}", d, lambda: C.collaboration(C.direct_scores(weighted(spark, d)), top))
 
 
 @query("join02_weighted_authorships", _WEIGHTED + " SELECT work_id, author_id, weight, h_index FROM weighted", *_T)

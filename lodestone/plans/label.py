@@ -10,6 +10,7 @@ from ..functions import weights as W
 from ..operators import graph
 from ..operators import label as L
 from ..operators import statistics as S
+from ..operators.storage import once
 from .registry import query
 from .stats import _COOC, _HIST, _WV, work_vocabulary
 
@@ -41,7 +42,8 @@ def similar(spark: SparkSession, d: str) -> DataFrame:
     wv = work_vocabulary(spark, d)
     degree = wv.groupBy("voc_id").agg(F.count(F.lit(1)).alias("degree"))
     p = S.partners(S.cooccurrence(wv)).join(degree, "voc_id").join(degree.select(F.col("voc_id").alias("partner"), F.col("degree").alias("other")), "partner")
-    return p.select(F.col("voc_id").alias("src"), F.col("partner").alias("dst"), (F.col("freq") / F.sqrt(F.col("degree") * F.col("other"))).alias("score"))
+    score = (F.col("freq") / F.sqrt(F.col("degree") * F.col("other"))).alias("score")
+    return once(spark, "similar", d, lambda: p.select(F.col("voc_id").alias("src"), F.col("partner").alias("dst"), score))
 
 
 def anchors(spark: SparkSession, d: str) -> DataFrame:

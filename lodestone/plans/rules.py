@@ -54,7 +54,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("mth27_legacy_weight", _TERM + f""" SELECT voc_id, CASE WHEN sim < 0.4 THEN 0.0 ELSE pow(sim, 3) * idf * least(fit, 1.0) * size * (0.35 + 0.65 * pow(sim, 1.5) + 0.15 * pow(fit, 1.1)) * generic END AS weight,
-    CASE WHEN works < 10 THEN 1.0 WHEN works < 50 THEN 1 + 0.5 * (works - 10.0) / 40 ELSE idf END AS smoothed FROM (SELECT voc_id, works, purity + 0.3 AS sim, {_IN} AS fit, ln(1 + (SELECT count(*) FROM works) / (1.0 + works)) AS idf, 1 / (1.0 + span) AS size,
+    CASE WHEN works < 10 THEN 1.0 WHEN works < 50 THEN 1 + 0.5 * (works - 10.0) / 40 ELSE 0.9 END AS smoothed FROM (SELECT voc_id, works, purity + 0.3 AS sim, {_IN} AS fit, ln(1 + (SELECT count(*) FROM works) / (1.0 + works)) AS idf, 1 / (1.0 + span) AS size,
     1 / ln(2.0 + works) / (1 + 0.25 * (span - 1)) AS generic FROM tt)""", *_T)
 def _(spark: SparkSession, d: str) -> DataFrame:
     n = X.works(spark, d).agg(F.count(F.lit(1)).alias("total"))
@@ -62,7 +62,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     anchor = R.anchor_factor(F.col("sim"), F.col("fit"))
     generic = R.generic_penalty(F.col("works"), F.col("span"))
     weight = R.legacy_weight(F.col("sim"), F.col("idf"), F.col("fit"), 1 / (1.0 + F.col("span")), anchor, generic)
-    return t.select("voc_id", weight.alias("weight"), R.smoothed_idf(F.col("works"), F.col("idf")).alias("smoothed"))
+    return t.select("voc_id", weight.alias("weight"), R.smoothed_idf(F.col("works")).alias("smoothed"))
 
 
 @query("mth30_uniqueness_confidence", _TERM + f""" SELECT voc_id, least({_IN} / list_sum(map_values(dist)), 1.0) AS uniqueness, CASE entity_type WHEN 'concept' THEN 0.95 WHEN 'keyword' THEN 0.6 ELSE 0.8 END AS confidence FROM tt JOIN vocabulary USING (voc_id)""", *_T)

@@ -9,6 +9,7 @@ from .. import fixtures as X
 from ..functions import text as T
 from ..functions import weights as W
 from ..operators import statistics as S
+from ..operators.storage import once
 from .registry import query
 
 _T = ("works", "terms", "vocabulary")
@@ -21,7 +22,7 @@ _COOC = """, cooc AS (SELECT x.voc_id AS a, y.voc_id AS b, count(*) AS freq FROM
 
 
 def work_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return S.work_vocabulary(X.terms(spark, d), X.vocabulary(spark, d))
+    return once(spark, "work_vocabulary", d, lambda: S.work_vocabulary(X.terms(spark, d), X.vocabulary(spark, d)))
 
 
 def histogram(spark: SparkSession, d: str) -> DataFrame:

@@ -28,18 +28,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return G.graded(rows.select("doc_id", (F.col("quality") + F.col("toxic")).alias("gold"), weak.alias("weak"))).select("doc_id", "label_source", "train_y", "sample_weight")
 
 
-@query("ml01_tiered_negatives")
+@query("ml01_tiered_negatives", """WITH t AS (SELECT source AS query_id, doc_id AS author_id, CASE doc_id % 3 WHEN 0 THEN 'fair' WHEN 1 THEN 'neutral' ELSE 'easy' END AS tier FROM documents),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY md5(concat_ws('|', 42, query_id, author_id)), author_id) AS r, CASE tier WHEN 'fair' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS level FROM t),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (r <= CASE tier WHEN 'easy' THEN 2 ELSE 4 END) DESC, level, r, author_id) AS n FROM r) SELECT query_id, author_id, tier FROM n WHERE n <= 10""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return G.tiered_negatives(_tiers(spark, d), 10)
 
 
-@query("ml02_negative_tails")
+@query("ml02_negative_tails", "SELECT l_orderkey AS h, 1 AS r, l_suppkey AS t, 1 + CAST('0x' || substr(md5(concat_ws('|', 42, l_orderkey, 1, l_suppkey)), 1, 8) AS BIGINT) % 100 AS negative FROM lineitem")
 def _(spark: SparkSession, d: str) -> DataFrame:
     triples = X.raw(spark, d, "lineitem").select(F.col("l_orderkey").alias("h"), F.lit(1).alias("r"), F.col("l_suppkey").alias("t"))
     return G.negative_tails(triples, 1, 100)
 
 
-@query("top10_seeded_sample")
+@query("top10_seeded_sample", "SELECT o_orderkey FROM orders ORDER BY md5(concat_ws('|', 42, o_orderkey)), o_orderkey LIMIT 100")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return G.sampled(X.raw(spark, d, "orders").select("o_orderkey"), "o_orderkey", 100)
 

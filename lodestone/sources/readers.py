@@ -68,3 +68,20 @@ def matrix(spark: SparkSession, path: str, size: int, rows_per_part: int = 10_00
 def exists(spark: SparkSession, table: str, column: str | None = None) -> bool:
     """SRC-18: whether a table, or a column of it, is in the catalogue."""
     return spark.catalog.tableExists(table) and (column is None or column in {c.name for c in spark.catalog.listColumns(table)})
+
+
+def shards(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-20: the rows of all shard=N folders under path with their shard, to be ordered by it."""
+    return spark.read.option("basePath", path).parquet(f"{path}/shard=*")
+
+
+def in_turn(df: DataFrame, order: str, size: int = 1000):
+    """SRC-02: the rows in order, in lists of size, a partition at a time on the driver; for small consumers of a large table."""
+    held: list = []
+    for row in df.orderBy(order).toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held

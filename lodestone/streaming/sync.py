@@ -24,14 +24,44 @@ def after_marker(df: DataFrame, marker: DataFrame, column: str, tie: str) -> Dat
     return rows.orderBy(column, tie)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def stored_marker(spark: SparkSession, path: str, default: str = "1970-01-01") -> DataFrame:
     """STM-02: the marker table of a task, or the default where none is stored."""
-    try:
+    if there(spark, f"{path}/_SUCCESS"):
         return spark.read.schema("marker string").parquet(path)
-    except Exception as e:  # only a missing path gives the default
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.sql(f"select '{default}' as marker")
+    return spark.sql(f"select '{default}' as marker")
+
+
+def marker_set(spark: SparkSession, path: str, marker: str | None) -> None:
+    """STM-02: stores a task's marker; None resets it to the default."""
+    if marker is not None:
+        spark.createDataFrame([(marker,)], "marker string").coalesce(1).write.mode("overwrite").parquet(path)
+    elif there(spark, path):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def in_shards(df: DataFrame, key: str, shards: int, path: str) -> list[int]:
+    """STM-06: df by shards of its key's hash, each a folder written as a whole; shards that are there are passed over. The numbers of those written."""
+    spark, written = df.sparkSession, []
+    for k in range(shards):
+        place = f"{path}/shard={k}"
+        if not there(spark, f"{place}/_SUCCESS"):
+            df.where(F.pmod(F.xxhash64(key), F.lit(shards)) == k).write.mode("overwrite").parquet(place)
+            written.append(k)
+    return written
+
+
+def crawl_state(done: DataFrame, planned: DataFrame) -> DataFrame:
+    """STM-07: task, cursor, done, total, completed from finished pages (task, page, cursor) and planned ones (task, pages)."""
+    last = done.groupBy("task").agg(F.max_by("cursor", "page").alias("cursor"), F.countDistinct("page").alias("done"))
+    rows = planned.join(last, "task", "left").select("task", "cursor", F.coalesce("done", F.lit(0)).alias("done"), F.col("pages").alias("total"))
+    return rows.withColumn("completed", F.col("done") >= F.col("total"))
 
 
 def source(spark: SparkSession, path: str, schema: T.StructType = EVENTS, files: int = 1) -> DataFrame:

@@ -4,8 +4,10 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.operators import tables, training
+from lodestone.functions import skills
+from lodestone.operators import rules, tables, training
 from lodestone.operators.graph import dense_ids
 from lodestone.sources import readers, writers
 from lodestone.streaming import sync
@@ -99,3 +101,43 @@ def test_windows(spark, tmp_path):
     q = sync.windowed(sync.source(spark, str(tmp_path / "in")), ["event_type"], "value").writeStream.outputMode("append").format("memory").queryName("days").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select * from days").count() > 0
+
+
+def test_markers_shards_and_turns(spark, tmp_path):
+    path = str(tmp_path / "marker")
+    read = lambda: [r.marker for r in sync.stored_marker(spark, path).collect()]
+    assert read() == ["1970-01-01"]
+    sync.marker_set(spark, path, "2001-02-03")
+    assert read() == ["2001-02-03"]
+    sync.marker_set(spark, path, None)
+    sync.marker_set(spark, path, None)
+    assert read() == ["1970-01-01"]
+    df, out = spark.range(100).withColumn("x", F.col("id") * 2), str(tmp_path / "shards")
+    assert sync.in_shards(df, "id", 4, out) == [0, 1, 2, 3] and sync.in_shards(df, "id", 4, out) == []
+    got = readers.shards(spark, out)
+    assert sorted(r.id for r in got.collect()) == list(range(100)) and {r.shard for r in got.select("shard").distinct().collect()} == {0, 1, 2, 3}
+    turns = list(readers.in_turn(df, "id", 30))
+    assert [len(t) for t in turns] == [30, 30, 30, 10] and [r.id for t in turns for r in t] == list(range(100))
+
+
+def test_swapped_table(spark):
+    spark.range(5).write.mode("overwrite").saveAsTable("swap_me")
+    tables.swapped(spark.table("swap_me").where("id > 2"), "swap_me")
+    assert sorted(r.id for r in spark.table("swap_me").collect()) == [3, 4]
+    spark.sql("drop table swap_me")
+
+
+def test_skills_need_compatibility_composition(spark):
+    """Full-width letters and marks, and rules of a skill's normal form by hand."""
+    texts = ["熟悉Ｐｙｔｈｏｎ（３）", "掌握 深度学习 框架；推动项目落地", None, "", "C++、Ｃ", "mujoco 等机器人常用开发库"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", skills.extracted(F.col("t")).alias("s")).collect()}
+    assert got == {0: ["python"], 1: ["深度学习"], 2: [], 3: [], 4: ["c"], 5: ["mujoco"]}
+
+
+def test_clauses_by_hand(spark):
+    long = "x" * 40
+    said = ["short", "a clause that is long enough", "A CLAUSE that is  long enough", long + " one", long + " two", "the whole query itself", None, *[f"clause number {k} is here" for k in range(9)]]
+    df = spark.createDataFrame([(said, ["The whole query itself", None])], "c array<string>, w array<string>")
+    got = df.select(rules.selected_clauses(F.col("c"), F.col("w")).alias("s")).first().s
+    assert got == ["a clause that is long enough", long + " one", *[f"clause number {k} is here" for k in range(4)]]
