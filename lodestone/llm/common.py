@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only sessions without one (tests) get their own."""
+    """The cluster names the shared folder in spark.checkpoint.dir; only sessions of one process without one (tests) get their own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[[^\],]+(,\s*\d+)?\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "lodestone-checkpoints"))
 
 
