@@ -1,11 +1,17 @@
 """A training corpus from documents: language ID, exact and near duplicates, decontamination, packing.
 
 Each stage works on all rows that its predecessor kept; all but the last return the columns of documents.
+
+Defined cases: rows without a letter go in the first stage, null and empty texts with them; of copies and near copies the
+row of the smallest doc_id stays, null ids last; repeated and null ids are told apart by content, and decontamination
+decides on each row's own text; further columns, whatever their names, pass through unchanged until the last stage, which
+ignores them; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +20,11 @@ from lodestone.llm.common import ensure_checkpoint_dir, table
 from lodestone.llm.queries import tokenizer_path
 
 
+#: Bytes of text that JVM and worker pass to each other at once; each holds several times as much.
+ARROW_BATCH = "8m"
+_ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted(docs)
 
@@ -34,12 +45,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
+def _bounded(stage):
+    """stage in a session with small Arrow batches: workers live on from stage to stage, and so does what they once held."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(_ARROW_CONF, ARROW_BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", language),
-    ("exact_dedup", exact),
-    ("ngram_jaccard_join", near),
-    ("decontamination", decontaminate),
-    ("best_fit_packing", pack),
+    ("language_id", _bounded(language)),
+    ("exact_dedup", _bounded(exact)),
+    ("ngram_jaccard_join", _bounded(near)),
+    ("decontamination", _bounded(decontaminate)),
+    ("best_fit_packing", _bounded(pack)),
 ]
 
 #: Profiles, n-gram links and alignments are beyond SQL.
@@ -50,9 +72,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each stage's rows are a table in the shared folder that spark.checkpoint.dir names."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
+    before = spark.conf.get(_ARROW_CONF)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+    spark.conf.set(_ARROW_CONF, before)
     return docs
