@@ -178,6 +178,29 @@ def newest(df: DataFrame, key: str, most: int, year: str = "year", tie: str = "w
     return df.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
 
 
+def entry_group(role: Column, in_anchor: Column, can_expand: Column) -> Column:
+    """RUL-08: trusted_primary, secondary_primary or support_expansion."""
+    primary = F.lower(F.trim(F.coalesce(role, F.lit("")))) == "primary"
+    trusted = primary & (F.lower(F.trim(F.coalesce(in_anchor, F.lit("")))) == "mainline") & F.coalesce(can_expand, F.lit(False))
+    return F.when(trusted, "trusted_primary").when(primary, "secondary_primary").otherwise("support_expansion")
+
+
+def term_flags(polysemy: Column, object_risk: Column, generic: Column) -> Column:
+    """RUL-08: array of risk flags, in this order."""
+    tests = ((polysemy, 0.75, "high_polysemy"), (object_risk, 0.55, "object_like"), (generic, 0.55, "too_generic"))
+    return F.array_compact(F.array(*[F.when(or_zero(x) > most, F.lit(name)) for x, most, name in tests]))
+
+
+def guardrail(tid: Column, term: Column, evidence: Column, anchors: Column, path: Column, topic_fit: Column, subfield_fit: Column, primary: Column, source: Column) -> Column:
+    """RUL-08: null for terms that pass, else missing_required_stage3_fields or weak_evidence_noise. A missing path match comes from topic and subfield fits."""
+    seen, near = F.coalesce(evidence, F.lit(0)), F.coalesce(anchors, F.lit(0))
+    topic = or_zero(F.coalesce(topic_fit, subfield_fit))
+    match = F.when(or_zero(path) > 0, path).otherwise(0.55 * topic + 0.35 * or_zero(subfield_fit))
+    like = F.coalesce(primary, F.lit(False)) | (F.lower(F.trim(F.coalesce(source, F.lit("")))) == "similar_to") | (near >= 2)
+    missing = tid.isNull() | (F.trim(F.coalesce(term, F.lit(""))) == "") | (seen <= 0)
+    return F.when(missing, "missing_required_stage3_fields").when((near <= 1) & (seen <= 1) & (match < 0.15) & ~like, "weak_evidence_noise")
+
+
 # --- papers and authors
 
 

@@ -143,22 +143,30 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return X.raw(spark, d, "documents").select("doc_id", W.blend((0.55, lexical), (0.20, F.when(F.col("lang") == "en", 1.0).otherwise(0.3)), (0.25, F.least(F.lit(1.0), F.col("n_chars") / 5000.0))).alias("grounding"))
 
 
-@query("str24_phrase_counters", "SELECT doc_id, len(regexp_extract_all(text, '[^ \\n]+')) AS words, len(regexp_extract_all(text, '[A-Z]')) AS capitals, len(regexp_extract_all(text, '[.,;]')) AS points FROM documents")
+_PHRASES = ["metal", "ring", "red ring", "Steel Bolt", "bolt", "hot red gear"]
+_LOW = [p.lower() for p in _PHRASES]
+
+
+@query("str24_phrase_counters", f"""SELECT p_partkey, least(1.0, 0.3 + 0.15 * least(len(list_filter(string_split(low, ' '), lambda w: w <> '')), 6) + 0.55 * (1.0 - len(list_filter({_LOW}, lambda p: p <> low AND length(p) >= length(low) AND contains(p, low))) / 6.0)) AS specificity,
+    CASE WHEN place = 0 THEN 0.3 ELSE 0.2 + 0.8 * least(len(list_filter({_LOW}, lambda p: p <> low AND contains(body, p))) / 5.0, 1.0) END AS richness
+    FROM (SELECT p_partkey, lower(p_name) AS low, lower('some ' || CASE WHEN p_size > 10 THEN p_name ELSE '' END || ' with red ring and steel bolt') AS body, strpos(body, low) AS place FROM part)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return X.raw(spark, d, "documents").select("doc_id", n(r"[^ \n]+").alias("words"), n("[A-Z]").alias("capitals"), n("[.,;]").alias("points"))
+    all_ = F.array(*[F.lit(p) for p in _PHRASES])
+    body = F.concat(F.lit("Some "), F.when(F.col("p_size") > 10, F.col("p_name")).otherwise(""), F.lit(" with red ring and steel bolt"))
+    return X.raw(spark, d, "part").select("p_partkey", T.phrase_specificity(F.col("p_name"), all_).alias("specificity"), T.phrase_richness(F.col("p_name"), body, all_).alias("richness"))
 
 
-@query("str25_term_classes", " SELECT voc_id, CASE WHEN regexp_matches(term, '^[a-z]{2,3}$') THEN 'acronym' WHEN regexp_matches(term, '\\d') THEN 'coded' WHEN term IN ('small', 'large') THEN 'generic' ELSE 'plain' END AS kind FROM vocabulary", "vocabulary")
+@query("str25_term_classes", " SELECT voc_id, CASE WHEN length(t) < 2 THEN 'unknown' WHEN t IN ('economy', 'small') THEN 'acronym' WHEN t = 'system' THEN 'generic_task_term' WHEN contains(t, 'engineering') THEN 'application_term' ELSE 'canonical_academic_like' END AS kind FROM (SELECT voc_id, CASE voc_id % 4 WHEN 0 THEN 'system' WHEN 1 THEN term || ' engineering' WHEN 2 THEN substr(term, 1, 1) ELSE term END AS t FROM vocabulary)", "vocabulary")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("term")
-    return X.vocabulary(spark, d).select("voc_id", F.when(t.rlike("^[a-z]{2,3}$"), "acronym").when(t.rlike(r"\d"), "coded").when(t.isin("small", "large"), "generic").otherwise("plain").alias("kind"))
+    k = F.col("voc_id") % 4
+    term = F.when(k == 0, "System ").when(k == 1, F.concat("term", F.lit(" Engineering"))).when(k == 2, F.substring("term", 1, 1)).otherwise(F.col("term"))
+    return X.vocabulary(spark, d).select("voc_id", T.anchor_type(term, F.array(F.lit("economy"), F.lit("small"))).alias("kind"))
 
 
-@query("str27_identity_surface", "SELECT p_partkey, lower(trim(p_name)) AS norm, len(string_split(p_name, ' ')) AS tokens, string_split(lower(p_name), ' ')[-1] AS head FROM part")
+@query("str27_identity_surface", "SELECT p_partkey, p_name || ' (x y) end-to-end' AS raw, lower(p_name) || ' end to end' AS norm, len(string_split(p_name, ' ')) + 3 AS tokens, string_split(lower(p_name), ' ')[1] AS head FROM part")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.split(F.lower("p_name"), " ")
-    return X.raw(spark, d, "part").select("p_partkey", F.lower(F.trim("p_name")).alias("norm"), F.size(parts).cast("long").alias("tokens"), F.element_at(parts, -1).alias("head"))
+    s = T.identity_surface(F.concat(F.lit(" "), "p_name", F.lit(" (x y) end-to-end")))
+    return X.raw(spark, d, "part").select("p_partkey", s.alias("s")).select("p_partkey", "s.raw", "s.norm", F.size("s.tokens").cast("long").alias("tokens"), "s.head")
 
 
 @query("vec10_domain_selection", "WITH " + _CENT[2:] + """, s AS (SELECT vec_id, c.label AS domain, sum(e.x * c.x) AS score FROM (SELECT vec_id, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) e JOIN cent c USING (i) GROUP BY 1, 2)

@@ -244,3 +244,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents as clauses; the first line is the whole query."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     return X.raw(spark, d, "documents").select("doc_id", F.array_join(R.selected_clauses(lines, F.array(lines[0])), "\n").alias("clauses"))
+
+
+@query("rul08_stage3", f"""WITH m AS ({_M}), r AS (SELECT l_orderkey, l_linenumber, l_returnflag, s, a, c, i, CASE WHEN l_linenumber = 7 THEN '' ELSE 't' END AS term, l_linenumber % 3 AS ev, l_suppkey % 3 AS an FROM m)
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' AND a > 0.3 THEN 'trusted_primary' WHEN l_returnflag = 'R' THEN 'secondary_primary' ELSE 'support_expansion' END AS entry,
+    array_to_string(list_filter([CASE WHEN s > 0.75 THEN 'high_polysemy' END, CASE WHEN a > 0.55 THEN 'object_like' END, CASE WHEN i > 0.55 THEN 'too_generic' END], lambda x: x IS NOT NULL), ',') AS flags,
+    CASE WHEN term = '' OR ev <= 0 THEN 'missing_required_stage3_fields' WHEN an <= 1 AND ev <= 1 AND 0.55 * a + 0.35 * i < 0.15 AND l_returnflag <> 'R' THEN 'weak_evidence_noise' END AS rejected FROM r""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    m, main = measured(spark, d), F.col("l_returnflag") == "R"
+    role, place = F.when(main, " Primary").otherwise("dense_expansion"), F.lit("mainline")
+    term = F.when(F.col("l_linenumber") == 7, "").otherwise("t")
+    rejected = R.guardrail(F.col("l_partkey"), term, F.col("l_linenumber") % 3, F.col("l_suppkey") % 3, F.lit(None).cast("double"), F.col("a"), F.col("i"), main, F.lit("dense"))
+    flags = R.term_flags(F.col("s"), F.col("a"), F.col("i"))
+    return m.select("l_orderkey", "l_linenumber", R.entry_group(role, place, F.col("a") > 0.3).alias("entry"), F.array_join(flags, ",").alias("flags"), rejected.alias("rejected"))

@@ -81,9 +81,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return part.select("p_partkey", T.restored(index).alias("text"))
 
 
-@query("str18_surface_terms", "SELECT doc_id, unnest(list_slice(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{9,}')), 1, 10000)) AS surface FROM documents")
+@query("str18_surface_terms")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{9,}"), F.lit(0)))).alias("surface"))
+    """Documents as raw queries."""
+    none = F.lit(None).cast("string")
+    found = docs(spark, d).select("doc_id", T.surface_terms(F.col("text"), none, none, none).alias("s"))
+    return found.select("doc_id", *[F.array_join(f"s.{k}", "|").alias(k) for k in ("lexical", "acronym", "method")])
 
 
 @query("str19_title_mentions", r"SELECT doc_id, n_name FROM documents, (SELECT lower(n_name) AS n_name FROM nation UNION ALL SELECT 'the' UNION ALL SELECT 'license') WHERE CASE WHEN regexp_matches(n_name, '^[a-z]{1,5}$') THEN regexp_matches(lower(text), '\b' || n_name || '\b') ELSE contains(lower(text), n_name) END")
