@@ -4,7 +4,8 @@ Every window of up to WINDOW_LINES lines or WINDOW_SENTENCES sentences (which ma
 as a whole, is compared with every template. A sentence ends at a full stop before white space and a capital. A term's weight is its count times its inverse document
 frequency over all documents; terms of no template count as ones that no document has. A window can reach the threshold
 only if it has one of a template's rarest terms (the rest of the template is too short a vector, by Cauchy-Schwarz),
-so windows without such a term are set aside by one pattern, exactly. A file's own licence is that of its best window; a
+so windows without such a term are set aside by one pattern, exactly. So are windows with too many terms of no template
+for those that they share with some. A file's own licence is that of its best window; a
 plain reservation of rights counts only where there is no licence. A file of which that window is half or more, or whose name says so, is a licence file, and its licence holds for its
 directory. Files without their own take that of the nearest directory above that has one, by a join on paths.
 
@@ -117,6 +118,24 @@ def _windows(parts: Column, most: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), n - i + 1)), lambda k: F.array_join(F.slice(parts, i, k), " "))))
 
 
+def _able(terms: Column, vocabulary: list[str], threshold: float) -> Column:
+    """Whether a window's cosine with a template can be threshold: False only if it cannot.
+
+    No term weighs more than one of no template, so the squared counts of the vocabulary's terms bound the part of the
+    vector that templates can meet, and each other term's occurrence adds at least one to the square of the rest.
+    """
+    known = F.filter(terms, lambda t: F.array_contains(F.array(*[F.lit(v) for v in vocabulary]), t))
+    zero = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def step(a: Column, t: Column) -> Column:
+        run = F.when(a["last"] == t, a["run"] + 1).otherwise(F.lit(1).cast("long"))
+        # The square of a count is the sum of the odd numbers up to it.
+        return F.struct(t.alias("last"), run.alias("run"), (a["sum"] + 2 * run - 1).alias("sum"))
+
+    squares = F.aggregate(F.array_sort(known), zero, step, lambda a: a["sum"])
+    return squares * (1 - threshold**2) >= 0.999 * threshold**2 * (F.size(terms) - F.size(known))
+
+
 def ancestors(path: Column) -> Column:
     """Directories above path, from the root's child down: /a/b/c.txt has /a and /a/b (and the root, '')."""
     parts = F.split(path, "/")
@@ -142,6 +161,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
         F.col(path).alias("path"),
         F.transform(lines, lambda x: F.struct(_terms(x).alias("terms"), (F.length(x) / F.length(body)).alias("part"))).alias("lines"),
     )
+    rows = rows.withColumn("lines", F.filter("lines", lambda x: _able(x["terms"], vocabulary, threshold)))
     rows = cut(rows)
     line = rows.where(F.size("lines") > 0).select("rid", F.posexplode("lines").alias("no", "line")).select("rid", "no", "line.part", F.explode("line.terms").alias("term"))
     counts = line.groupBy("rid", "no", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("part").alias("part"))

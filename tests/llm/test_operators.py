@@ -592,6 +592,22 @@ def licence_by_hand(text, df, n):
     return best
 
 
+def test_only_hopeless_windows_are_set_aside(spark):
+    """The bound on random windows against the cosine itself, with the heaviest weight for terms of no template."""
+    r = random.Random(6)
+    vocabulary, rows_ = [f"v{k}" for k in range(6)], []
+    for _ in range(400):
+        rows_.append([r.choice(vocabulary) if r.random() < 0.8 else f"u{r.randint(0, 9)}" for _ in range(r.randint(0, 25))])
+    template = collections.Counter(vocabulary[:4])
+    got = [x.able for x in spark.createDataFrame([(i, w) for i, w in enumerate(rows_)], "i int, w array<string>").select("i", licenses._able(F.col("w"), vocabulary, 0.8).alias("able")).orderBy("i").collect()]
+    for w, able in zip(rows_, got):
+        c = collections.Counter(w)
+        norm = math.sqrt(sum(n * n for n in c.values())) * math.sqrt(len(template))
+        if norm and sum(c[t] for t in template) / norm >= 0.8:
+            assert able
+    assert 50 < sum(got) < 380
+
+
 def test_licences(spark):
     lines = [x for v in licenses.TEMPLATES.values() for x in v]
     texts = [f"some text here\n{x}" for x in lines] + [x.replace("Licensed", "licensed").upper() for x in lines] + [x + " with more words than that" for x in lines] + [None, "", "nothing", "license"] * 5
