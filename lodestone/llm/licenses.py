@@ -114,8 +114,13 @@ def _values(spark, rows: list[tuple], names: str) -> DataFrame:
 
 def _windows(parts: Column, most: int) -> Column:
     """Every run of one to most parts, joined by a space."""
-    n = F.size(parts)
-    return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), n - i + 1)), lambda k: F.array_join(F.slice(parts, i, k), " "))))
+
+    def of(p: Column) -> Column:
+        n = F.size(p)
+        return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), n - i + 1)), lambda k: F.array_join(F.slice(p, i, k), " "))))
+
+    # Bound to a variable: parts itself inside of the inner functions would be split anew for each run.
+    return F.flatten(F.transform(F.array(parts), of))
 
 
 def _able(terms: Column, vocabulary: list[str], threshold: float) -> Column:
