@@ -88,10 +88,18 @@ def due(stamps: DataFrame, column: str, now: str, days: int) -> DataFrame:
 
 
 def swapped(df: DataFrame, table: str) -> None:
-    """SNK-21: df in place of a catalogue table, which may be one that df reads, with fresh statistics."""
+    """SNK-21: df in place of a catalogue table, which may be one that df reads, with fresh statistics.
+
+    The old table keeps another name until the new one has its own, so a stop at any point leaves one of them; the next call puts an old one back first.
+    """
     spark = df.sparkSession
-    made = f"{table}_new"
+    made, old = f"{table}_new", f"{table}_old"
+    if not spark.catalog.tableExists(table) and spark.catalog.tableExists(old):
+        spark.sql(f"alter table {old} rename to {table}")
     df.write.mode("overwrite").saveAsTable(made)
-    spark.sql(f"drop table if exists {table}")
+    spark.sql(f"drop table if exists {old}")
+    if spark.catalog.tableExists(table):
+        spark.sql(f"alter table {table} rename to {old}")
     spark.sql(f"alter table {made} rename to {table}")
     spark.sql(f"analyze table {table} compute statistics")
+    spark.sql(f"drop table if exists {old}")

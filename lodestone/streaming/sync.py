@@ -24,37 +24,57 @@ def after_marker(df: DataFrame, marker: DataFrame, column: str, tie: str) -> Dat
     return rows.orderBy(column, tie)
 
 
-def there(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, in whatever store it lies."""
+def _place(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, in whatever store it lies."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists."""
+    place, fs = _place(spark, path)
+    return fs.exists(place)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of a marker's versions, whole or not."""
+    place, fs = _place(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+    return sorted(int(n[2:]) for n in names if n.startswith("v="))
 
 
 def stored_marker(spark: SparkSession, path: str, default: str = "1970-01-01") -> DataFrame:
-    """STM-02: the marker table of a task, or the default where none is stored."""
-    if there(spark, f"{path}/_SUCCESS"):
-        return spark.read.schema("marker string").parquet(path)
+    """STM-02: the marker table of a task, its newest whole version, or the default where none is stored."""
+    whole = [v for v in _versions(spark, path) if there(spark, f"{path}/v={v}/_SUCCESS")]
+    if whole:
+        return spark.read.schema("marker string").parquet(f"{path}/v={whole[-1]}")
     return spark.sql(f"select '{default}' as marker")
 
 
 def marker_set(spark: SparkSession, path: str, marker: str | None) -> None:
-    """STM-02: stores a task's marker; None resets it to the default."""
+    """STM-02: stores a task's marker as a version of its own, then drops older ones: a stop in between leaves one that is whole. None resets it to the default."""
+    before = _versions(spark, path)
     if marker is not None:
-        spark.createDataFrame([(marker,)], "marker string").coalesce(1).write.mode("overwrite").parquet(path)
-    elif there(spark, path):
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        spark.createDataFrame([(marker,)], "marker string").coalesce(1).write.parquet(f"{path}/v={max(before, default=0) + 1}")
+        gone = [f"{path}/v={v}" for v in before]
+    else:
+        gone = [path] if there(spark, path) else []
+    for x in gone:
+        place, fs = _place(spark, x)
+        fs.delete(place, True)
 
 
 def in_shards(df: DataFrame, key: str, shards: int, path: str) -> list[int]:
-    """STM-06: df by shards of its key's hash, each a folder written as a whole; shards that are there are passed over. The numbers of those written."""
-    spark, written = df.sparkSession, []
-    for k in range(shards):
-        place = f"{path}/shard={k}"
-        if not there(spark, f"{place}/_SUCCESS"):
-            df.where(F.pmod(F.xxhash64(key), F.lit(shards)) == k).write.mode("overwrite").parquet(place)
-            written.append(k)
-    return written
+    """STM-06: df by shards of its key's hash, each a folder that appears when it is whole; those that are there are passed over. The numbers of those written, all in one reading of df."""
+    spark = df.sparkSession
+    missing = [k for k in range(shards) if not there(spark, f"{path}/shard={k}")]
+    if missing:
+        rows = df.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")).where(F.col("shard").isin(missing))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+        for k in missing:  # a shard without rows is an empty folder
+            place, fs = _place(spark, f"{path}/shard={k}")
+            fs.mkdirs(place)
+    return missing
 
 
 def crawl_state(done: DataFrame, planned: DataFrame) -> DataFrame:
