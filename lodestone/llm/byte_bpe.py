@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Ids of remembered pieces in all; beyond them, a worker forgets and starts again.
-REMEMBERED_IDS = 1 << 21
+#: Pieces that a worker remembers; beyond them, it forgets the half that was not used for longest.
+REMEMBERED = 700_000
 #: Longer pieces (bytes) are not remembered.
 LONGEST = 64
 
@@ -64,11 +64,19 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.forget()
+        self.at: dict[str, int] = {}
+        self.flat, self.starts, self.used, self.calls = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32), 0
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        """Keeps the pieces that were used last, half of what may be remembered at most."""
+        texts, entries = list(self.at), np.fromiter(self.at.values(), np.int64, len(self.at))
+        keep = np.argsort(-self.used[entries], kind="stable")[: REMEMBERED // 2]
+        entries = entries[keep]
+        n = self.starts[entries + 1] - self.starts[entries]
+        starts = np.concatenate([[0], np.cumsum(n)])
+        self.flat = self.flat[np.arange(starts[-1]) + np.repeat(self.starts[entries] - starts[:-1], n)]
+        self.starts, self.used = starts, self.used[entries]
+        self.at = {texts[k]: e for e, k in enumerate(keep.tolist())}
 
     def _add(self, texts: list[str]) -> None:
         """Puts the ids of texts behind those that are held."""
@@ -79,11 +87,13 @@ class ByteBpe:
             lengths += map(len, ids)
         self.flat = np.concatenate(flat)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths, dtype=np.int64)])
+        self.used = np.concatenate([self.used, np.zeros(len(texts), np.int32)])
 
     def ids(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, each text's followed by end_id if given, and where each text's begin (one entry more than texts)."""
-        if len(self.flat) > REMEMBERED_IDS:
+        if len(self.used) > REMEMBERED:
             self.forget()
+        self.calls += 1
         found, first = pieces(texts)
         d = pc.dictionary_encode(found)
         distinct = d.dictionary.to_pylist()
@@ -92,6 +102,7 @@ class ByteBpe:
         known = len(self.starts) - 1
         self._add([distinct[k] for k in new])
         entry[new] = np.arange(known, known + len(new))
+        self.used[entry] = self.calls
         self.at.update((distinct[k], int(entry[k])) for k in new if len(distinct[k]) <= LONGEST)
         starts = self.starts
         which = entry[d.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(found) else np.zeros(0, np.int64)

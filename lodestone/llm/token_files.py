@@ -50,6 +50,8 @@ _FOOTER = struct.Struct("<IBI")
 #: Our own index frame: mark, bytes of an id, documents, of which so many at the end have no id, XXH64 of what follows unpacked.
 _INDEX = struct.Struct("<4sBQQQ")
 _MARK = b"LSTK"
+#: Bytes of text worked on at once: a piece that comes often is looked up once for all of them.
+SLICE_BYTES = 4 << 20
 #: Bytes of ids put out at once.
 OUT_BYTES = 1 << 21
 
@@ -232,7 +234,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, frame_
         first = writer = None
         with there.open_output_stream(f"{base}/{name}", compression=None) as out:
             writer = Writer(out, width, frame_ids)
-            for part in slices(batches):
+            for part in slices(batches, size=SLICE_BYTES):
                 flat, offsets = tokenizer.ids(part.column("text"), end_id)
                 writer.append(part.column("doc_id"), flat, offsets)
             writer.close()

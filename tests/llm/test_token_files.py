@@ -55,11 +55,12 @@ def test_pieces_do_not_change_ids(library):
 
 
 def test_forgetting_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr("lodestone.llm.byte_bpe.REMEMBERED_IDS", 3)
+    monkeypatch.setattr("lodestone.llm.byte_bpe.REMEMBERED", 8)
     b = ByteBpe(queries.tokenizer_path("byte_bpe_50k.json"))
-    for _ in range(3):
-        flat, offsets = b.ids(pa.array(ODD), 2)
-        assert flat.tolist() == [i for t in ODD for i in [*library.encode(t or "", add_special_tokens=False).ids, 2]]
+    for k in (0, 3, 6, 2, 0, 9):
+        texts = ODD[k : k + 8]
+        flat, offsets = b.ids(pa.array(texts), 2)
+        assert flat.tolist() == [i for t in texts for i in [*library.encode(t or "", add_special_tokens=False).ids, 2]]
 
 
 @pytest.fixture(scope="module")
