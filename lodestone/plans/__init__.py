@@ -1,3 +1,3 @@
 """Registered queries by group; each module fills the registry when it is imported."""
 
-from . import collab, label, more, relational, retrieval, rules, skills, stats, steps, texts, training  # noqa: F401
+from . import collab, label, landing, more, relational, retrieval, rules, skills, stats, steps, texts, training  # noqa: F401

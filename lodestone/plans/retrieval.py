@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..functions import weights as W
+from ..operators import ann as A
 from ..operators import fusion as U
 from ..operators import metrics, scoring
 from ..operators import vectors as V
-from .registry import query
+from ..operators.storage import new_folder
+from .registry import SQL, query
 
 _T = ("works", "authorships", "authors")
 _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
@@ -28,6 +30,29 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return V.top_k(*_vectors(spark, d), 10)
 
 
+#: Cells of the index for about so many items each; the share of true hits for which the number of cells to read is chosen, on a sample of queries.
+PER_CELL, RECALL = 64, 0.95
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, A.Index]:
+    queries, items = _vectors(spark, d)
+    cells = max(1, round(items.count() / PER_CELL))
+    return queries, A.build(items, new_folder(spark, "index"), cells)
+
+
+@query("vec01_index_exact", SQL["vec01_top_k"])
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same hits through the index: some cells, then those whose bound reaches a query's tenth best score."""
+    return A.exact(*_index(spark, d), 10)
+
+
+@query("join33_index_search")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate: only each query's nearest cells are read."""
+    queries, index = _index(spark, d)
+    return A.search(queries, index, 10, A.probes_for(queries, index, 10, RECALL))
+
+
 @query("vec02_normalised", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 3) AS before, 1.0 AS after FROM embeddings")
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = X.raw(spark, d, "embeddings")
