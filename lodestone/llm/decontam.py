@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, whole_text
+from .common import cut, fresh, whole_text
 from .words import chained, coded, hashed, slices, split_words
 
 SEED_WORDS = 3
@@ -221,7 +221,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
     # Texts of another type are cast for the search; the column itself stays as it is.
     text = fresh(docs, "_searched")
     out = docs.withColumn(text, whole_text())
-    for seeds in _blocks(benchmark, block_seeds):
+    for k, seeds in enumerate(_blocks(benchmark, block_seeds)):
+        # What passed a block is stored before the next, so that a stage's workers hold one block only.
+        out = cut(out) if k else out
         sent = spark.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -143,13 +143,16 @@ def count(spans: Column, kind: str) -> Column:
 
 
 def scan_all(files: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text", increment: Column | None = None, increments: int = 1) -> DataFrame:
-    """All of files through one ledger, an increment (0 to increments - 1, null: 0) after the other: each scans what those before it left unseen.
+    """All of files through one ledger, an increment (0 to increments - 1, null: 0, any other number: the last) after the other: each scans what those before it left unseen.
 
     The ledger keeps clean triples, too, so a blob that came before is not scanned again, whatever it gave.
     """
     ledger = None
+    own = F.lit(0) if increment is None else F.coalesce(increment, F.lit(0))
+    last = increments - 1
+    own = F.when(own.between(0, last), own).otherwise(last)
     for k in range(increments):
-        part = files if increment is None or increments == 1 else files.where(F.coalesce(increment, F.lit(0)) == k)
+        part = files if increment is None or increments == 1 else files.where(own == k)
         new = cut(scan(part, ledger, rules, text))
         ledger = new if ledger is None else ledger.unionByName(new)
     return report(files, ledger, rules, path, text)

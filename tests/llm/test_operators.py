@@ -119,6 +119,12 @@ def test_secret_increments_and_long_runs(spark):
     assert got == {i: spans_by_hand(t, set(kinds)) for i, t in enumerate(texts)}
 
 
+def test_secret_increments_out_of_range_are_scanned(spark):
+    docs = spark.createDataFrame([(k, f"token: abcdefg{k}") for k in (-3, 0, 1, 2, 99)], "doc_id long, text string")
+    found = secrets.scan_all(docs, path="doc_id", increment=F.col("doc_id"), increments=2).collect()
+    assert len(found) == 5 and all(len(r.spans) == 1 for r in found)
+
+
 def test_secret_ledger_scans_only_what_is_new(spark):
     docs = table(spark, TRICKY)
     first = secrets.scan(docs, None, secrets.BASE_RULES).cache()

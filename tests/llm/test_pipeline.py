@@ -99,3 +99,16 @@ def test_pipeline_by_hand(spark, tmp_path):
 
 def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, written(tmp_path, [], [])).count() == 0
+
+
+def test_pipeline_puts_the_setting_back_when_a_stage_fails(spark, tmp_path, monkeypatch):
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+
+    def broken(spark, docs, sf_dir):
+        raise RuntimeError("broken")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[0], ("broken", broken)])
+    with pytest.raises(RuntimeError, match="broken"):
+        corpus_pipeline.run(spark, written(tmp_path, documents()[0], documents()[1]))
+    assert spark.conf.get(conf) == before
