@@ -46,7 +46,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _bounded(stage):
-    """stage in a session with small Arrow batches: workers live on from stage to stage, and so does what they once held."""
+    """stage in a session with small Arrow batches: workers live on from stage to stage, and so does what they once held.
+
+    A stage's rows are computed when they are written, after the call, so the setting outlives the call; run() puts it back.
+    """
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,15 +71,25 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _gone(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; each stage's rows are a table in the shared folder that spark.checkpoint.dir names."""
+    """All stages in turn; each stage's rows are a table in the shared folder that spark.checkpoint.dir names, dropped when the next one is written."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
     before = spark.conf.get(_ARROW_CONF)
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    spark.conf.set(_ARROW_CONF, before)
+    docs, last = table(spark, sf_dir, "documents"), None
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            path = f"{folder}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if last is not None:
+                _gone(spark, last)
+            last = path
+    finally:
+        spark.conf.set(_ARROW_CONF, before)
     return docs
