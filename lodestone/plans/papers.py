@@ -99,9 +99,9 @@ _WORKS = _POOL + """, n AS (SELECT count(*) AS n FROM works), idfs AS (SELECT vo
     ev AS (SELECT *, reranked * protection AS protected FROM e2)"""
 
 
-@query("rul09_evidence", _WORKS + " SELECT query_id, work_id, hq AS hit_class, mainline, side, strength, round(evidence, 9) AS evidence, preview, round(protection, 9) AS protection, round(protected, 9) AS protected FROM ev", *_T)
+@query("rul09_evidence", _WORKS + " SELECT query_id, work_id, hq AS hit_class, mainline, side, strength, round(evidence, 11) AS evidence, preview, round(protection, 11) AS protection, round(protected, 11) AS protected FROM ev", *_T)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return evidenced(spark, d).select("query_id", "work_id", "hit_class", "mainline", "side", "strength", F.round("evidence", 9).alias("evidence"), "preview", F.round("protection", 9).alias("protection"), F.round("protected", 9).alias("protected"))
+    return evidenced(spark, d).select("query_id", "work_id", "hit_class", "mainline", "side", "strength", F.round("evidence", 11).alias("evidence"), "preview", F.round("protection", 11).alias("protection"), F.round("protected", 11).alias("protected"))
 
 
 _COHESION = _WORKS + """, dk AS (SELECT DISTINCT work_id, CAST(unnest(string_split(domain_ids, '|')) AS INTEGER) AS d FROM works), dn AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY work_id) AS x FROM dk),
@@ -143,9 +143,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return P.cohesion(pool, mixes, profile(spark, d)).select("query_id", "work_id", "neighbours", "in_neighbourhood", "overlap", "signals", "cohesion")
 
 
-@query("rul09_reselected", _COHESION + f""" SELECT query_id, work_id, round(mixed, 9) AS mixed, round(compete, 9) AS compete, r1 AS first_rank, r2 AS rank, CASE WHEN r1 <= {KEPT} AND r2 <= {KEPT} THEN 'kept' WHEN r2 <= {KEPT} THEN 'in' WHEN r1 <= {KEPT} THEN 'out' END AS moved FROM k3""", *_T)
+@query("rul09_reselected", _COHESION + f""" SELECT query_id, work_id, round(mixed, 11) AS mixed, round(compete, 11) AS compete, r1 AS first_rank, r2 AS rank, CASE WHEN r1 <= {KEPT} AND r2 <= {KEPT} THEN 'kept' WHEN r2 <= {KEPT} THEN 'in' WHEN r1 <= {KEPT} THEN 'out' END AS moved FROM k3""", *_T)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return competed(spark, d).select("query_id", "work_id", F.round("mixed", 9).alias("mixed"), F.round("compete", 9).alias("compete"), "first_rank", "rank", "moved")
+    return competed(spark, d).select("query_id", "work_id", F.round("mixed", 11).alias("mixed"), F.round("compete", 11).alias("compete"), "first_rank", "rank", "moved")
 
 
 @query("rul10_broad_dominance")
