@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
@@ -23,7 +23,7 @@ _ANCH = _SKILL + """, cov AS (SELECT voc_id, count(DISTINCT job_id) / (SELECT co
 _HITS = """, seeds AS (SELECT query_id, voc_id, job_freq / 10.0 AS score FROM anchors), idfs AS (SELECT voc_id, log10((SELECT count(*) FROM works) / (degree + 1)) AS idf FROM deg WHERE degree / (SELECT count(*) FROM works) < 0.3),
     hits AS (SELECT s.query_id, w.work_id, s.voc_id, idf, year, score FROM seeds s JOIN idfs USING (voc_id) JOIN wv w ON w.voc_id = s.voc_id JOIN works USING (work_id))"""
 _PAIRS = """, pairs AS (SELECT query_id, work_id, voc_id, idf, score * idf * CASE WHEN 2001 - year <= 3 THEN 1.0 WHEN 2001 - year <= 6 THEN 0.5 WHEN 2001 - year <= 10 THEN 0.2 ELSE 0.01 END AS value,
-        (work_id % 100) / 400.0 AS grounding, (work_id % 7) / 7.0 AS align FROM hits),
+        round(idf / sum(idf) OVER (PARTITION BY query_id, work_id), 6) AS grounding, round(score / (SELECT max(s.score) FROM seeds s WHERE s.query_id = hits.query_id), 6) AS align FROM hits),
     gated AS (SELECT query_id, work_id, voc_id, idf, role, value FROM (SELECT *, row_number() OVER (PARTITION BY query_id, voc_id, role ORDER BY value DESC, work_id) AS r FROM (
         SELECT query_id, work_id, voc_id, idf, role, value * CASE WHEN role = 'secondary' THEN 0.65 ELSE 1.0 END AS value FROM (
             SELECT *, CASE WHEN grounding >= 0.12 THEN 'primary' WHEN grounding >= 0.06 AND align >= 0.78 THEN 'secondary' END AS role FROM pairs) WHERE role IS NOT NULL)) WHERE r <= CASE role WHEN 'primary' THEN 15 ELSE 3 END)"""
@@ -79,8 +79,11 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gated(spark: SparkSession, d: str) -> DataFrame:
-    rows = hits(spark, d).select(
-        "query_id", "work_id", "voc_id", "idf", (F.col("score") * F.col("idf") * W.recency(F.col("year"))).alias("value"), ((F.col("work_id") % 100) / 400.0).alias("grounding"), ((F.col("work_id") % 7) / 7.0).alias("align")
+    """Hits with grounding, a term's share of what a work's hits weigh, and alignment, its jobs against those of the query's first term."""
+    most = anchors(spark, d).groupBy("query_id").agg((F.max("job_freq") / 10.0).alias("most"))
+    own = Window.partitionBy("query_id", "work_id")
+    rows = hits(spark, d).join(most, "query_id").select(
+        "query_id", "work_id", "voc_id", "idf", (F.col("score") * F.col("idf") * W.recency(F.col("year"))).alias("value"), F.round(F.col("idf") / F.sum("idf").over(own), 6).alias("grounding"), F.round(F.col("score") / F.col("most"), 6).alias("align")
     )
     return L.gated(rows, {"primary": 15, "secondary": 3})
 
