@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions
 from .word_bpe import WordBpe
-from .words import ragged, slices
+from .words import ragged, release, slices
 
 CAPACITY = 2048
 #: Bytes of text worked on at once.
@@ -42,8 +42,8 @@ def word_ids(path: str) -> WordBpe:
     return _tokenizers[path]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """PIECES of every document; tokenizer_path must be there on every executor."""
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, remember: bool = True) -> DataFrame:
+    """PIECES of every document; tokenizer_path must be there on every executor. remember: workers keep the tokenizer and its words from task to task, else they let go of it, for what else they serve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_ids(tokenizer_path)
@@ -62,6 +62,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
                 [part.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        if not remember:
+            _tokenizers.clear()
+            del tok
+            release()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, PIECES)
@@ -127,10 +131,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, remember: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
     spark = docs.sparkSession
-    cut_pieces = cut(pieces(docs, tokenizer_path, capacity))
+    cut_pieces = cut(pieces(docs, tokenizer_path, capacity, remember))
     ranged = cut_pieces.repartitionByRange(shuffle_partitions(spark), "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
     place = F.monotonically_increasing_id()
     ranged = cut(ranged.withColumn("_place", place))
