@@ -166,6 +166,20 @@ def merged_primaries(candidates: DataFrame, key: str = "query_id") -> DataFrame:
     return rows.withColumn("order", F.row_number().over(order))
 
 
+def merged_terms(candidates: DataFrame, key: str = "query_id") -> DataFrame:
+    """RUL-08: one row a term of a query, with all that brought it in: score (the best), members, anchors and sources (sorted, distinct), primary, lead (the anchor of the best member) and provenance.
+
+    candidates: query_id, tid, anchor_id, source, role, score. provenance is an array of struct<score, anchor_id, source, role>, the best first, ties by anchor; a term has as many members as its query has anchors and sources.
+    """
+    member = F.struct((-F.col("score")).alias("_s"), "anchor_id", "source", "role", "score")
+    primary = F.coalesce(F.bool_or(F.lower(F.trim("role")) == "primary"), F.lit(False))
+    rows = candidates.groupBy(key, "tid").agg(
+        F.max("score").alias("score"), F.count(F.lit(1)).alias("members"), F.array_sort(F.collect_set("anchor_id")).alias("anchors"), F.array_sort(F.collect_set("source")).alias("sources"), primary.alias("primary"), F.array_sort(F.collect_list(member)).alias("_m")
+    )
+    told = F.transform("_m", lambda m: F.struct(m["score"].alias("score"), m["anchor_id"].alias("anchor_id"), m["source"].alias("source"), m["role"].alias("role")))
+    return rows.withColumn("lead", F.get("_m", 0)["anchor_id"]).withColumn("provenance", told).drop("_m")
+
+
 def family_decayed(df: DataFrame, score: str, family: str, tie: str, *group: str, base: float = 0.85) -> DataFrame:
     """WIN-09: the k-th best of a family counts base^(k - 1), by score, ties by tie."""
     rank = F.row_number().over(Window.partitionBy(*group, family).orderBy(F.desc(score), tie))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.weights import dot, norm
+from .seeds import family_support
 
 #: Query vectors sent to all tasks at once; more go in blocks.
 BLOCK = 2000
@@ -110,10 +111,11 @@ def cluster_expansion(seeds: DataFrame, members: DataFrame, most_seeds: int = 15
     return kept.groupBy("id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("support"))
 
 
-def dense_expansion(seeds: DataFrame, items: DataFrame, k: int = 24) -> DataFrame:
+def dense_expansion(seeds: DataFrame, items: DataFrame, k: int = 24, family: DataFrame | None = None) -> DataFrame:
     """VEC-12: seed, id, score: of each seed's k nearest items those near enough to it and to its anchor that are no seeds; 3 of a strong seed, 2 of another, 1 of a weak one.
 
     seeds: seed, q (unit), anchor (unit vector), tier (weak or not), strong; items: id, v (unit). Least similarity 0.80 and 0.72 to the anchor, 0.84 and 0.78 for weak seeds.
+    family: seed, m (unit), a row for each landed member of the seed's anchor: what the family backs with less than 0.68 (weak seeds: 0.74) is left out; seeds without family let all through. A family has a handful of members.
     """
     mine = seeds.select(F.col("seed").alias("query_id"), "q", "anchor", "tier", "strong")
     weak = F.col("tier") == "weak"
@@ -123,6 +125,10 @@ def dense_expansion(seeds: DataFrame, items: DataFrame, k: int = 24) -> DataFram
         near = pairs.withColumn("_near", dot(F.col("anchor"), F.col("_v"))).withColumn("_k", rank).where(F.col("_k") <= k)
         near = near.where((F.col("score") >= F.when(weak, 0.84).otherwise(0.80)) & (F.col("_near") >= F.when(weak, 0.78).otherwise(0.72)))
         free = near.join(seeds.select(F.col("seed").alias("id")), "id", "left_anti")
+        if family is not None:
+            backed = free.select(F.col("query_id").alias("seed"), "id", "_v").join(family, "seed").select(F.col("seed").alias("query_id"), "id", dot(F.col("_v"), F.col("m")).alias("sim"))
+            free = free.join(family_support(backed, "query_id", "id"), ["query_id", "id"], "left")
+            free = free.where(F.col("family_support").isNull() | (F.col("family_support") >= F.when(weak, 0.74).otherwise(0.68)))
         keep = F.when(weak, 1).when(F.col("strong"), 3).otherwise(2)
         out.append(free.withColumn("_r", rank).where(F.col("_r") <= keep).select(F.col("query_id").alias("seed"), "id", "score"))
     return reduce(DataFrame.unionByName, out)

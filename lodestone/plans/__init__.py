@@ -1,3 +1,3 @@
 """Registered queries by group; each module fills the registry when it is imported."""
 
-from . import anchoring, collab, label, landing, more, papers, relational, retrieval, rules, skills, stats, steps, texts, training  # noqa: F401
+from . import anchoring, collab, explain, label, landing, more, papers, relational, retrieval, rules, skills, stats, steps, texts, training  # noqa: F401

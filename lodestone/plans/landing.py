@@ -167,6 +167,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "anchor_id", "cand", F.col("pre.outcome").alias("bucket"), F.col("pre.reason").alias("reason"), F.col("check.reason").alias("precheck"))
 
 
+_BUCKET = """CASE WHEN retain = 'reject' OR managerial OR bad OR drifting OR (polysemy >= 0.55 AND context < 0.50) OR (NOT ok AND best0 < 0.36) OR (ok AND (object >= 0.55 OR polysemy >= 0.60)) THEN 'reject' WHEN NOT ok THEN 'risky_keep'
+    WHEN strong AND really THEN 'primary_expandable' WHEN strong THEN 'primary_support_keep' WHEN middle AND NOT cond_only AND mainline >= 0.46 AND really THEN 'primary_support_seed' WHEN middle OR (mainline >= 0.28 AND align >= 0.45) THEN 'primary_support_keep' WHEN best >= 0.36 THEN 'risky_keep' ELSE 'reject' END"""
+
+
+@query("rul08_merged_terms", _FEATURES + f""", b AS (SELECT *, {_BUCKET} AS bucket FROM f), m AS (SELECT query_id, cand AS tid, anchor_id, array_to_string(sources, '+') AS source, CASE WHEN bucket = 'risky_keep' THEN 'side' ELSE 'primary' END AS role, score FROM b WHERE bucket <> 'reject')
+    SELECT query_id, tid, max(score) AS score, count(*) AS members, array_to_string(list_sort(list(DISTINCT anchor_id)), ',') AS anchors, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, bool_or(role = 'primary') AS "primary", arg_min(anchor_id, (-score, anchor_id)) AS lead,
+        string_agg(anchor_id || ':' || source || ':' || role, ',' ORDER BY score DESC, anchor_id) AS provenance FROM m GROUP BY 1, 2""", *_T)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = G.bucketed(pool(spark, d)).where(F.col("pre.outcome") != G.REJECT)
+    role = F.when(F.col("pre.outcome") == G.RISKY, "side").otherwise("primary")
+    out = R.merged_terms(rows.select("query_id", F.col("cand").alias("tid"), "anchor_id", F.array_join("sources", "+").alias("source"), role.alias("role"), "score"))
+    told = F.transform("provenance", lambda m: F.concat_ws(":", m["anchor_id"].cast("string"), m["source"], m["role"]))
+    return out.select("query_id", "tid", "score", "members", F.array_join(F.transform("anchors", lambda a: a.cast("string")), ",").alias("anchors"), F.array_join("sources", ",").alias("sources"), "primary", "lead", F.array_join(told, ",").alias("provenance"))
+
+
 def landed(spark: SparkSession, d: str) -> DataFrame:
     return once(spark, "landings", d, lambda: G.selected(pool(spark, d), top_anchors(spark, d)), ANCHORS, STRONG, NEAR, CONDITIONED, FAMILY)
 

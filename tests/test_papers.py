@@ -1,8 +1,10 @@
 """Hit quality, evidence, cohesion, competition and broad dominance on small pools whose outcome was worked out by hand."""
 
+import math
+
 import pytest
 
-from lodestone.operators import papers
+from lodestone.operators import papers, rules, vectors
 
 HITS = "query_id int, work_id int, term string, mainline boolean, parent string, family string, grounding double, align double"
 
@@ -111,3 +113,28 @@ def test_broad_dominance(spark):
     assert all(r.hit == (r.reason == "broad_mainline_dominance_hit") for r in got.values())
     assert got[99].reason == "skipped_overlaps_side_driven_suppression_audit"
     assert got[4].signals["second_term_share"] == "0.2" and got[6].signals["axis_union"] == "control_core,estimation" and got[0].signals["papers"] == "1"
+
+
+def test_family_gate_of_dense_expansion(spark):
+    at = lambda a: [math.cos(a), math.sin(a)]
+    seeds = spark.createDataFrame([(100, at(0.0), at(0.0), "normal", True), (101, at(0.0), at(0.0), "weak", False), (102, at(0.0), at(0.0), "normal", True)], "seed int, q array<double>, anchor array<double>, tier string, strong boolean")
+    items = spark.createDataFrame([(1, at(0.3)), (2, at(-0.3)), (3, at(0.1))], "id int, v array<double>")
+    # The family stands at 1.0: item 1 is backed by cos 0.7 = 0.765, item 2 by cos 1.3 = 0.267, item 3 by cos 0.9 = 0.622.
+    family = spark.createDataFrame([(100, at(1.0)), (101, at(1.0))], "seed int, m array<double>")
+    got = {}
+    for r in vectors.dense_expansion(seeds, items, 24, family).collect():
+        got.setdefault(r.seed, set()).add(r.id)
+    assert got == {100: {1}, 101: {1}, 102: {1, 2, 3}}
+    spread = spark.createDataFrame([(100, at(1.0)), (100, at(0.3)), (101, at(1.03))], "seed int, m array<double>")
+    got = {(r.seed, r.id) for r in vectors.dense_expansion(seeds.where("seed < 102"), items, 24, spread).collect()}
+    # Mean (0.765 + 1) / 2 less a quarter of 0.235 backs item 1; item 3 has (0.622 + 0.980) / 2 - 0.09; 0.745 is just enough for a weak seed.
+    assert got == {(100, 1), (100, 3), (101, 1)}
+
+
+def test_merged_terms_carry_their_provenance(spark):
+    rows = [(1, 7, 3, "similar_to", "primary", 0.5), (1, 7, 2, "conditioned_vec", "side", 0.9), (1, 7, 1, "similar_to", None, 0.5), (1, 8, 1, "family", "side", None), (2, 7, 3, "cooc", "side", 0.1)]
+    got = {(r.query_id, r.tid): r for r in rules.merged_terms(spark.createDataFrame(rows, "query_id int, tid int, anchor_id int, source string, role string, score double")).collect()}
+    r = got[1, 7]
+    assert (r.score, r.members, r.anchors, r.sources, r.primary, r.lead) == (0.9, 3, [1, 2, 3], ["conditioned_vec", "similar_to"], True, 2)
+    assert [tuple(m) for m in r.provenance] == [(0.9, 2, "conditioned_vec", "side"), (0.5, 1, "similar_to", None), (0.5, 3, "similar_to", "primary")]
+    assert (got[1, 8].primary, got[1, 8].score, got[2, 7].members) == (False, None, 1)
