@@ -42,7 +42,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path())
+    # Workers serve all stages: what one of them remembers would stay beside what the others need.
+    return packing.pack(docs, tokenizer_path(), remember=False)
 
 
 def _bounded(stage):
