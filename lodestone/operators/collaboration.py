@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import weights as W
+from .products import chained
 
 
 def weighted_authorships(authorships: DataFrame, works: DataFrame, authors: DataFrame, config: Config = DEFAULT, literal: bool = False) -> DataFrame:
@@ -39,17 +40,25 @@ def indirect_scores(direct: DataFrame, config: Config = DEFAULT, ordered_chain:
     """JOIN-06, AGG-11: through one author in between; ordered_chain follows rising ids only, else every chain counts."""
     if not ordered_chain:
         direct = direct.unionByName(direct.select(F.col("aid2").alias("aid1"), F.col("aid1").alias("aid2"), "s_val", F.col("h2").alias("h1"), F.col("h1").alias("h2")))
-    one = direct.select("aid1", F.col("aid2").alias("bridge"), F.col("s_val").alias("s1"), F.col("h1").alias("ha"), F.col("h2").alias("hb"))
-    two = direct.select(F.col("aid1").alias("bridge"), "aid2", F.col("s_val").alias("s2"), F.col("h2").alias("hc"))
-    score = F.col("s1") * F.col("s2") / ((F.col("hb") + 1) * F.sqrt(F.col("ha") + 1) * F.sqrt(F.col("hc") + 1))
-    chains = one.join(two, "bridge").where("aid1 < aid2" if not ordered_chain else "aid1 <> aid2")
-    return chains.groupBy("aid1", "aid2").agg((F.lit(config.indirect) * F.sum(score)).alias("score"))
+    return _chains(direct, config, not ordered_chain)
+
+
+def _chains(direct: DataFrame, config: Config, symmetric: bool, own: bool = False, top: int | None = None) -> DataFrame:
+    """aid1, aid2, score over chains of two rows; own adds the direct scores."""
+    first = F.col("s_val") / ((F.col("h2") + 1) * F.sqrt(F.col("h1") + 1))
+    second = F.col("s_val") / F.sqrt(F.col("h2") + 1)
+    edges = direct.select(F.col("aid1").alias("src"), F.col("aid2").alias("dst"), "s_val", "h1", "h2")
+    found = chained(edges, first, second, config.indirect, F.col("s_val") if own else None, symmetric, top)
+    return found.select(F.col("src").alias("aid1"), F.col("dst").alias("aid2"), F.col("value").alias("score"))
 
 
 def collaboration(direct: DataFrame, top: int = 100, config: Config = DEFAULT, ordered_chain: bool = True) -> DataFrame:
     """aid1, aid2, score: direct and indirect scores added up, the best `top` of each aid1 (ties: the smaller aid2)."""
-    both = direct.select("aid1", "aid2", F.col("s_val").alias("score")).unionByName(indirect_scores(direct, config, ordered_chain))
-    total = both.groupBy("aid1", "aid2").agg(F.sum("score").alias("score"))
+    if ordered_chain:
+        total = _chains(direct, config, False, own=True, top=top)
+    else:
+        both = direct.select("aid1", "aid2", F.col("s_val").alias("score")).unionByName(indirect_scores(direct, config, False))
+        total = both.groupBy("aid1", "aid2").agg(F.sum("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("aid1").orderBy(F.desc("score"), "aid2"))
     return total.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
 
