@@ -97,7 +97,8 @@ def normalised(part: Column, compose: bool = True) -> Column:
     x = nfkc(x) if compose else x
     for p in (r"[\x{200b}\x{200c}\x{200d}]", HEADER, BULLET, PREFIX):
         x = F.regexp_replace(x, p, "")
-    x = F.when(x.startswith("熟练使用"), F.trim(F.substring(x, 5, 1 << 30))).otherwise(x)
+    # One expression that names x once: trim takes blanks only.
+    x = F.regexp_replace(x, r"(?s)\A熟练使用 *(.*?) *\z", "$1")
     x = F.regexp_replace(F.regexp_replace(x, SUFFIX, ""), r"[(（].*?[)）]", "")
     x = F.trim(F.regexp_replace(x, r"\s+", " "))
     return F.regexp_replace(x, r"^[.,;；。:：]+|[.,;；。:：]+$", "")
@@ -149,10 +150,11 @@ def extracted(text: Column, compose: bool = True) -> Column:
     composed = F.split(nfkc(F.lower(whole)), "\n") if compose else F.split(F.lower(whole), "\n")
     raw = F.transform(split, lambda p: F.trim(p))
 
-    def kept(part: Column, said: Column) -> Column:
-        term = shortened(normalised(part, compose=False))
-        tool = peeled(term)
+    # A step at a time, so that each has the last one's value and not its expression once more.
+    terms = F.transform(F.transform(composed, lambda p: normalised(p, compose=False)), shortened)
+
+    def kept(term: Column, said: Column) -> Column:
         none = (term == "") | is_fragment(term) | is_fragment(said)
-        return F.when(none, F.lit(None)).when(tool.isNotNull(), F.when(~is_bad(tool), tool)).when(~is_bad(term), term)
+        return F.when(none, F.lit(None)).otherwise(F.coalesce(peeled(term), term))
 
-    return F.array_sort(F.array_distinct(F.array_compact(F.zip_with(composed, raw, kept))))
+    return F.array_sort(F.array_distinct(F.filter(F.zip_with(terms, raw, kept), lambda x: ~is_bad(x))))

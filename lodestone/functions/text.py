@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,11 @@ def mentions(title: Column, term: Column) -> Column:
     return F.when(short, F.rlike(F.lower(title), F.concat(F.lit(r"\b"), term, F.lit(r"\b")))).otherwise(F.contains(F.lower(title), term))
 
 
+def bound(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x with x evaluated once, however often body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def has_cjk(x: Column) -> Column:
     return x.rlike("[一-鿿]")
 
@@ -131,9 +138,14 @@ def surface_terms(raw: Column, compressed: Column, task: Column, method: Column)
     lexical = first(F.filter(every(blob, latin), lambda w: ~F.lower(w).isin(SURFACE_STOP)), every(blob, cjk))
     mixed = every(blob, word(r"[A-Za-z]{1,3}\d+[A-Za-z0-9]*") + "|" + word(r"[A-Za-z]*[A-Z][a-z0-9]+[A-Za-z0-9]*"))
     acronym = first(every(blob, word("[A-Z]{2,}")), mixed, parts)
-    low = F.transform(acronym, lambda a: F.lower(a))
-    kept = F.filter(lexical, lambda x: (F.length(x) > 4) | ~F.array_contains(low, F.lower(x)))
-    return F.struct(kept.alias("lexical"), F.slice(acronym, 1, 64).alias("acronym"), F.slice(first(every(methods, latin), every(methods, cjk)), 1, 64).alias("method"))
+    # Bound, or the acronyms would be found anew for each lexical term, and all three lists for each field that is read.
+    both = F.struct(lexical.alias("lexical"), acronym.alias("acronym"), F.slice(first(every(methods, latin), every(methods, cjk)), 1, 64).alias("method"))
+
+    def told(s: Column) -> Column:
+        kept = bound(F.transform(s["acronym"], lambda a: F.lower(a)), lambda low: F.filter(s["lexical"], lambda x: (F.length(x) > 4) | ~F.array_contains(low, F.lower(x))))
+        return F.struct(kept.alias("lexical"), F.slice(s["acronym"], 1, 64).alias("acronym"), s["method"].alias("method"))
+
+    return bound(both, told)
 
 
 def phrase_specificity(phrase: Column, phrases: Column) -> Column:
