@@ -31,11 +31,16 @@ def landings(frontier: DataFrame, similar: DataFrame, k: int, least: float) -> D
     return best.groupBy("query_id", F.col("dst").alias("voc_id")).agg(F.max("score").alias("sim"), F.countDistinct("anchor").alias("sources"))
 
 
-def hits(terms: DataFrame, has_topic: DataFrame, works: DataFrame, most_degree: float) -> DataFrame:
-    """L21, JOIN-19, FLT-19: query_id, work_id, voc_id, idf, year, score for terms (query_id, voc_id, score) that few enough works have."""
+def specific(terms: DataFrame, has_topic: DataFrame, works: DataFrame, most_degree: float) -> DataFrame:
+    """terms (voc_id, ...) that few enough works have, with idf."""
     total = works.agg(F.count(F.lit(1)).alias("total"))
     degree = has_topic.groupBy("voc_id").agg(F.count(F.lit(1)).alias("degree")).crossJoin(F.broadcast(total)).where(F.col("degree") / F.col("total") < most_degree)
-    kept = terms.join(degree.select("voc_id", W.idf_log10(F.col("total"), F.col("degree")).alias("idf")), "voc_id")
+    return terms.join(degree.select("voc_id", W.idf_log10(F.col("total"), F.col("degree")).alias("idf")), "voc_id")
+
+
+def hits(terms: DataFrame, has_topic: DataFrame, works: DataFrame, most_degree: float) -> DataFrame:
+    """L21, JOIN-19, FLT-19: query_id, work_id, voc_id, idf, year, score for terms (query_id, voc_id, score) that few enough works have."""
+    kept = specific(terms, has_topic, works, most_degree)
     return kept.join(has_topic, "voc_id").join(works.select("work_id", "year"), "work_id").select("query_id", "work_id", "voc_id", "idf", "year", "score")
 
 

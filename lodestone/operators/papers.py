@@ -54,17 +54,18 @@ def _table(x: Column, values: dict[str, float], other: float) -> Column:
 # --- hits
 
 
-def hit_quality(hits: DataFrame) -> DataFrame:
+def hit_quality(hits: DataFrame, *more: Column) -> DataFrame:
     """RUL-09: a row a work: n, mainline, side, hit_class, coherence, strength, families (single_hit, same_family, cross_family, mixed_or_unknown), grounding (the best), align (the mean, null if none), terms.
 
-    hits: query_id, work_id, term, mainline, parent (the primary behind a term), family, grounding, align. Works that one parent primary hit with side terms only count one as mainline.
+    hits: query_id, work_id, term, mainline, parent (the primary behind a term), family, grounding, align. Works that one parent primary hit with side terms only count one as mainline. more: further aggregates of a work's hits, named.
     """
     named = F.when(F.trim("parent") != "", F.lower(F.trim("parent")))
     family = F.when(F.trim("family") != "", _c("family"))
     works = hits.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("mainline", F.lit(False))).alias("_ml"), F.count(named).alias("_named"), F.countDistinct(named).alias("_parents"), F.countDistinct(family).alias("_families"),
-        F.coalesce(F.max("grounding"), F.lit(0.0)).alias("grounding"), F.avg("align").alias("align"), F.array_sort(F.collect_list("term")).alias("terms"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("mainline", F.lit(False))).alias("_ml"), F.count(named).alias("_named"), F.size(F.collect_set(named)).alias("_parents"), F.size(F.collect_set(family)).alias("_families"),
+        F.coalesce(F.max("grounding"), F.lit(0.0)).alias("grounding"), F.avg("align").alias("align"), F.array_sort(F.collect_list("term")).alias("terms"), *more,
     )
+    carried = [c for c in works.columns if c not in (*KEYS, "n", "_ml", "_named", "_parents", "_families", "grounding", "align", "terms")]
     aligned = (_c("n") >= 2) & (_c("_ml") == 0) & (_c("_named") == _c("n")) & (_c("_parents") == 1)
     works = works.withColumn("aligned", aligned).withColumn("mainline", F.when(_c("aligned"), 1).otherwise(_c("_ml")).cast("int")).withColumn("side", (_c("n") - _c("mainline")).cast("int"))
     one = _c("n") == 1
@@ -81,7 +82,7 @@ def hit_quality(hits: DataFrame) -> DataFrame:
     families = F.when(one, "single_hit").when(_c("_families") == 0, "mixed_or_unknown").when(_c("_families") == 1, "same_family").otherwise("cross_family")
     out = works.withColumn("_q", quality)
     strength = F.when(one, 0).when(_c("_q.outcome") == SIDE_ONLY, 1).otherwise(2)
-    return out.select(*KEYS, F.col("n").cast("int").alias("n"), "mainline", "side", F.col("_q.outcome").alias("hit_class"), F.col("_q.reason").alias("coherence"), strength.alias("strength"), families.alias("families"), "grounding", "align", "terms")
+    return out.select(*KEYS, F.col("n").cast("int").alias("n"), "mainline", "side", F.col("_q.outcome").alias("hit_class"), F.col("_q.reason").alias("coherence"), strength.alias("strength"), families.alias("families"), "grounding", "align", "terms", *carried)
 
 
 def evidence(works: DataFrame) -> DataFrame:
@@ -116,12 +117,14 @@ def evidence(works: DataFrame) -> DataFrame:
 def cohesion(works: DataFrame, mixes: DataFrame, profile: DataFrame) -> DataFrame:
     """RUL-09: works with neighbours, in_neighbourhood, overlap, signals and cohesion (topic_cohesive_, topic_weak_ or term_only_candidate).
 
-    mixes: query_id, work_id, level (field, subfield, topic), key, share; profile: query_id, level, key, share. A neighbourhood are the subfields and topics that many works of the pool have as their main one, and the profile's first four.
+    mixes: work_id, level (field, subfield, topic), key, share, and query_id if a work's mix differs by query; profile: query_id, level, key, share. A neighbourhood are the subfields and topics that many works of the pool have as their main one, and the profile's first four.
+    A work's mix is one row and a query's profile one map, so the pool meets them once; what is counted by query, subfield and topic does not grow with works.
     """
-    best = F.row_number().over(Window.partitionBy(*KEYS, "level").orderBy(F.desc("share"), "key"))
-    main = mixes.where(_c("level").isin("subfield", "topic")).withColumn("_r", best).where("_r = 1")
-    main = main.groupBy(*KEYS).agg(F.max(F.when(_c("level") == "subfield", _c("key"))).alias("_s"), F.max(F.when(_c("level") == "topic", _c("key"))).alias("_t"))
-    pool = works.join(main, KEYS, "left")
+    by = [c for c in KEYS if c in mixes.columns]
+    main = lambda lv: F.min(F.when(_c("level") == lv, F.struct((-_c("share")).alias("s"), "key")))["key"]
+    of = mixes.groupBy(*by).agg(main("subfield").alias("_s"), main("topic").alias("_t"), F.collect_list(F.struct("level", F.concat_ws("\u0001", "level", "key").alias("at"), "share")).alias("_mix"))
+    wanted = profile.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "level", "key"), "share"))).alias("_profile"))
+    pool = works.join(of, by, "left")
     n = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     same = pool.where("_s is not null and _t is not null").groupBy("query_id", "_s", "_t").agg((F.count(F.lit(1)) - 1).alias("neighbours"))
     each = pool.select("query_id", F.explode(F.array(F.struct(F.lit("subfield").alias("level"), _c("_s").alias("key")), F.struct(F.lit("topic").alias("level"), _c("_t").alias("key")))).alias("k")).select("query_id", "k.level", "k.key")
@@ -130,18 +133,19 @@ def cohesion(works: DataFrame, mixes: DataFrame, profile: DataFrame) -> DataFram
     first = F.row_number().over(Window.partitionBy("query_id", "level").orderBy(F.desc("share"), "key"))
     keys = often.unionByName(profile.where(_c("level").isin("subfield", "topic")).withColumn("_r", first).where(_c("_r") <= PROFILE_KEYS).select("query_id", "level", "key")).distinct()
     mine = lambda level, key: keys.where(_c("level") == level).select("query_id", F.col("key").alias(key), F.lit(True).alias(f"{key}_in"))
-    pool = pool.join(same, ["query_id", "_s", "_t"], "left").join(mine("subfield", "_s"), ["query_id", "_s"], "left").join(mine("topic", "_t"), ["query_id", "_t"], "left")
+    pool = pool.join(F.broadcast(same), ["query_id", "_s", "_t"], "left").join(F.broadcast(mine("subfield", "_s")), ["query_id", "_s"], "left").join(F.broadcast(mine("topic", "_t")), ["query_id", "_t"], "left")
     pool = pool.withColumn("neighbours", F.coalesce("neighbours", F.lit(0)).cast("int")).withColumn("in_neighbourhood", F.coalesce("_s_in", F.lit(False)) | F.coalesce("_t_in", F.lit(False)))
     # How far a work's mix agrees with the profile, by level.
-    agree = mixes.join(profile.withColumnRenamed("share", "_p"), ["query_id", "level", "key"]).groupBy(*KEYS).agg(*[F.coalesce(F.sum(F.when(_c("level") == lv, _c("share") * _c("_p"))), F.lit(0.0)).alias(f"cons_{lv}") for lv in DETAIL_MIX])
-    pool = pool.join(agree, KEYS, "left")
+    pool = pool.join(F.broadcast(wanted), "query_id", "left")
+    agree = lambda lv: F.aggregate(F.filter("_mix", lambda m: m["level"] == lv), F.lit(0.0), lambda s, m: s + F.coalesce(m["share"] * F.try_element_at("_profile", m["at"]), F.lit(0.0)))
+    pool = pool.withColumns({f"cons_{lv}": agree(lv) for lv in DETAIL_MIX})
     cons = {lv: F.coalesce(f"cons_{lv}", F.lit(0.0)) for lv in DETAIL_MIX}
     detail = blend(*[(w, cons[lv]) for lv, w in DETAIL_MIX.items()])
     pool = pool.withColumn("overlap", (cons["topic"] >= OVERLAP["topic"]) | (cons["subfield"] >= OVERLAP["subfield"]) | ((cons["field"] >= OVERLAP["field"]) & (F.greatest(cons["subfield"], cons["topic"]) >= OVERLAP["field_with"])))
     tests = (_c("neighbours") >= NEIGHBOURS, _c("overlap"), _c("in_neighbourhood"), F.greatest(*cons.values()) >= CONSENSUS, detail >= DETAIL)
     pool = pool.withColumn("signals", sum((t.cast("int") for t in tests), F.lit(0)))
     kind = F.when(_c("signals") >= SIGNALS, "topic_cohesive_candidate").when((_c("signals") == 1) | (_c("neighbours") == 1), "topic_weak_candidate").otherwise("term_only_candidate")
-    return pool.withColumn("cohesion", kind).drop("_s", "_t", "_s_in", "_t_in", *[f"cons_{lv}" for lv in DETAIL_MIX])
+    return pool.withColumn("cohesion", kind).drop("_s", "_t", "_s_in", "_t_in", "_mix", "_profile", *[f"cons_{lv}" for lv in DETAIL_MIX])
 
 
 # --- competition

@@ -23,20 +23,25 @@ AXES = {"1-URGENT": "planning_trajectory", "2-HIGH": "estimation", "3-MEDIUM": "
 KEPT = 200
 
 
-def term_hits(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, work_id, voc_id, value and what operators/papers.py wants of a hit."""
+def hit_terms(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, voc_id and what a hit has from its term alone: ANCHORS rows a query at most."""
     top = top_anchors(spark, d)
     terms = top.select("query_id", F.col("anchor_id").alias("voc_id"), (F.col("job_freq") / 10.0).alias("score"))
-    rows = L.hits(terms, work_vocabulary(spark, d), X.works(spark, d), 0.3)
-    rows = rows.withColumn("value", F.col("score") * F.col("idf") * W.recency(F.col("year")))
-    share = F.round(F.col("idf") / F.sum("idf").over(Window.partitionBy("query_id", "work_id")), 6)
+    kept = L.specific(terms, work_vocabulary(spark, d), X.works(spark, d), 0.3)
     main = top.where(F.col("mode") == G.MAIN).select("query_id", F.col("anchor_id").alias("parent"))
     near = top.where(F.col("mode") != G.MAIN).select("query_id", "anchor_id").join(relative_similar(spark, d).select(F.col("src").alias("anchor_id"), F.col("dst").alias("parent"), "static"), "anchor_id").join(main, ["query_id", "parent"])
     best = near.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "anchor_id").orderBy(F.desc("static"), "parent"))).where("_r = 1")
     behind = best.select("query_id", F.col("anchor_id").alias("voc_id"), "parent", F.lit(False).alias("mainline")).unionByName(main.select("query_id", F.col("parent").alias("voc_id"), "parent", F.lit(True).alias("mainline")))
     names = X.vocabulary(spark, d).select("voc_id", "term", F.col("entity_type").alias("family"))
-    rows = rows.withColumn("grounding", share).join(behind, ["query_id", "voc_id"], "left").join(names, "voc_id").join(alignment(spark, d).select("query_id", F.col("cand").alias("voc_id"), "align"), ["query_id", "voc_id"], "left")
-    return rows.withColumn("parent", F.col("parent").cast("string"))
+    rows = kept.join(behind, ["query_id", "voc_id"], "left").join(names, "voc_id").join(alignment(spark, d).select("query_id", F.col("cand").alias("voc_id"), "align"), ["query_id", "voc_id"], "left")
+    return once(spark, "hit terms", d, lambda: rows.withColumn("parent", F.col("parent").cast("string")).coalesce(1))
+
+
+def term_hits(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, work_id, voc_id, value and what operators/papers.py wants of a hit. Works meet the few terms as they lie, partitioned by work, and so need no further shuffle by query and work."""
+    topics = work_vocabulary(spark, d).join(X.works(spark, d).select("work_id", "year"), "work_id")
+    rows = topics.join(F.broadcast(hit_terms(spark, d)), "voc_id").withColumn("value", F.col("score") * F.col("idf") * W.recency(F.col("year")))
+    return rows.withColumn("grounding", F.round(F.col("idf") / F.sum("idf").over(Window.partitionBy("query_id", "work_id")), 6))
 
 
 def evidenced(spark: SparkSession, d: str) -> DataFrame:
@@ -45,10 +50,9 @@ def evidenced(spark: SparkSession, d: str) -> DataFrame:
 
 def _evidenced(spark: SparkSession, d: str) -> DataFrame:
     hits = term_hits(spark, d)
-    sums = hits.groupBy(*P.KEYS).agg(F.sum("value").alias("s"))
-    most = sums.groupBy("query_id").agg(F.max("s").alias("most"))
-    scores = sums.join(most, "query_id").select(*P.KEYS, F.round(F.col("s") / F.col("most"), 6).alias("score"))
-    works = P.hit_quality(hits).join(scores, P.KEYS).withColumn("hierarchy", F.lit(None).cast("double"))
+    most = hits.groupBy(*P.KEYS).agg(F.sum("value").alias("s")).groupBy("query_id").agg(F.max("s").alias("most"))
+    works = P.hit_quality(hits, F.sum("value").alias("s")).join(F.broadcast(most), "query_id")
+    works = works.withColumn("score", F.round(F.col("s") / F.col("most"), 6)).drop("s", "most").withColumn("hierarchy", F.lit(None).cast("double"))
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in AXES.items() for x in pair]), F.col("type"))
     split = F.split("domain_ids", r"\|")
     axes = X.works(spark, d).select("work_id", F.when(F.size(split) > 1, F.array(kind, F.lit("simulation_sim2real"))).otherwise(F.array(kind)).alias("axes"))
@@ -101,7 +105,7 @@ _WORKS = _POOL + """, n AS (SELECT count(*) AS n FROM works), idfs AS (SELECT vo
 
 @query("rul09_evidence", _WORKS + " SELECT query_id, work_id, hq AS hit_class, mainline, side, strength, round(evidence, 11) AS evidence, preview, round(protection, 11) AS protection, round(protected, 11) AS protected FROM ev", *_T)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return evidenced(spark, d).select("query_id", "work_id", "hit_class", "mainline", "side", "strength", F.round("evidence", 11).alias("evidence"), "preview", F.round("protection", 11).alias("protection"), F.round("protected", 11).alias("protected"))
+    return _evidenced(spark, d).select("query_id", "work_id", "hit_class", "mainline", "side", "strength", F.round("evidence", 11).alias("evidence"), "preview", F.round("protection", 11).alias("protection"), F.round("protected", 11).alias("protected"))
 
 
 _COHESION = _WORKS + """, dk AS (SELECT DISTINCT work_id, CAST(unnest(string_split(domain_ids, '|')) AS INTEGER) AS d FROM works), dn AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY work_id) AS x FROM dk),
@@ -131,16 +135,13 @@ _COHESION = _WORKS + """, dk AS (SELECT DISTINCT work_id, CAST(unnest(string_spl
 
 
 def competed(spark: SparkSession, d: str) -> DataFrame:
-    pool = evidenced(spark, d)
-    mixes = pool.select(*P.KEYS).join(topic_mixes(spark, d), "work_id")
-    return P.reselected(P.compete(P.cohesion(pool, mixes, profile(spark, d))), KEPT)
+    return P.reselected(P.compete(P.cohesion(evidenced(spark, d), topic_mixes(spark, d), profile(spark, d))), KEPT)
 
 
 @query("rul09_cohesion", _COHESION + " SELECT query_id, work_id, neighbours, around AS in_neighbourhood, overlap, signals, cohesion FROM ch", *_T)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    pool = evidenced(spark, d)
-    mixes = pool.select(*P.KEYS).join(topic_mixes(spark, d), "work_id")
-    return P.cohesion(pool, mixes, profile(spark, d)).select("query_id", "work_id", "neighbours", "in_neighbourhood", "overlap", "signals", "cohesion")
+    pool = once(spark, "works hit", d, lambda: _evidenced(spark, d).select(*P.KEYS))
+    return P.cohesion(pool, topic_mixes(spark, d), profile(spark, d)).select("query_id", "work_id", "neighbours", "in_neighbourhood", "overlap", "signals", "cohesion")
 
 
 @query("rul09_reselected", _COHESION + f""" SELECT query_id, work_id, round(mixed, 11) AS mixed, round(compete, 11) AS compete, r1 AS first_rank, r2 AS rank, CASE WHEN r1 <= {KEPT} AND r2 <= {KEPT} THEN 'kept' WHEN r2 <= {KEPT} THEN 'in' WHEN r1 <= {KEPT} THEN 'out' END AS moved FROM k3""", *_T)
