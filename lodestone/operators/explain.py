@@ -28,6 +28,14 @@ def step(walks: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     return rows.select("query_id", F.col("_dst").alias("node"), (F.col("weight") * F.col("_w")).alias("weight"), F.concat("chain", F.array(edge)).alias("chain"))
 
 
+def merged(walks: DataFrame) -> DataFrame:
+    """walks of a query whose last edge is of one kind and ends in the same node as one, with their weights' sum; its chain holds that edge alone, without its source."""
+    last = F.element_at("chain", -1)["kind"]
+    rows = walks.groupBy("query_id", "node", last.alias("_kind")).agg(F.sum("weight").alias("weight"))
+    edge = F.struct(F.col("_kind").alias("kind"), F.lit(None).cast("long").alias("src"), F.col("node").alias("dst"), F.lit(None).cast("double").alias("weight"))
+    return rows.select("query_id", "node", "weight", F.array(edge).alias("chain"))
+
+
 def told(chain: Column) -> Column:
     """A chain as text: kind:src>dst, edge after edge."""
     return F.array_join(F.transform(chain, lambda e: F.concat(e["kind"], F.lit(":"), e["src"].cast("string"), F.lit(">"), e["dst"].cast("string"))), " ")
