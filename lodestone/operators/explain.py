@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 EDGE = "array<struct<kind:string,src:bigint,dst:bigint,weight:double>>"
 #: The paths of retrieval in the order in which their evidence is preferred.
 PATHS = ("vector", "label", "collab")
@@ -48,6 +50,30 @@ def best(walks: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "node", "rank", "weight", "chain", "path")
 
 
+def best_fanned(walks: DataFrame, edges: DataFrame, fans: DataFrame, kinds: tuple[str, str], k: int) -> DataFrame:
+    """query_id, node, rank, weight, path as best() has them of walks two edges further, where the last edge of a middle node weighs the same to all its ends; no row for each walk.
+
+    walks: few rows, all of one length of chain. edges: src, dst, weight of the first kind; fans: src, ends (array), weight of the second.
+    Walks to a middle node have the same order for all its ends, so its k best go on as one array; an end's k best walks come through
+    the k middle nodes whose best walks are best. A walk is known by the place of its text in its query until those are found.
+    """
+    text = F.concat(told(F.col("chain")), F.when(F.size("chain") > 0, " ").otherwise(""), F.lit(f"{kinds[0]}:"), F.col("node").cast("string"), F.lit(">"))
+    begun = stored(walks.withColumn("_text", text).withColumn("_no", F.row_number().over(Window.partitionBy("query_id").orderBy("_text"))).select("query_id", "node", "weight", "_text", "_no"))
+    e = edges.select(F.col("src").cast("long").alias("_src"), F.col("dst").cast("long").alias("_mid"), F.col("weight").cast("double").alias("_w"))
+    to_middle = e.join(F.broadcast(begun), F.col("node") == F.col("_src")).select("query_id", "_mid", (F.col("weight") * F.col("_w")).alias("w"), "_no")
+    ends = fans.select(F.col("src").cast("long").alias("_mid"), "ends", F.col("weight").cast("double").alias("_f"))
+    each = to_middle.groupBy("query_id", "_mid").agg(F.collect_list(F.struct("w", "_no")).alias("_all")).join(ends, "_mid")
+    ordered = F.array_sort(F.transform("_all", lambda x: F.struct((-F.round(x["w"] * F.col("_f"), 12)).alias("r"), x["_no"].alias("no"), (x["w"] * F.col("_f")).alias("w"))))
+    each = each.withColumn("_best", F.slice(ordered, 1, k)).select("query_id", "_mid", "_best", F.explode("ends").alias("node"))
+    own, mid = Window.partitionBy("query_id", "node"), F.col("_mid").cast("string")
+    first = each.withColumn("_r", F.row_number().over(own.orderBy(F.col("_best")[0]["r"], F.col("_best")[0]["no"], mid))).where(F.col("_r") <= k)
+    rows = first.select("query_id", "node", "_mid", F.explode("_best").alias("x")).withColumn("rank", F.row_number().over(own.orderBy("x.r", "x.no", mid))).where(F.col("rank") <= k)
+    told_of = begun.select(F.col("query_id").alias("_q"), F.col("_no").alias("_n"), "_text")
+    rows = rows.join(F.broadcast(told_of), (F.col("query_id") == F.col("_q")) & (F.col("x.no") == F.col("_n")))
+    path = F.concat("_text", mid, F.lit(f" {kinds[1]}:"), mid, F.lit(">"), F.col("node").cast("string"))
+    return rows.select("query_id", F.col("node").cast("long").alias("node"), "rank", F.col("x.w").alias("weight"), path.alias("path"))
+
+
 def carriers(walks: DataFrame, kind: str) -> DataFrame:
     """query_id, node, via, share: how much of a node's weight came through each edge of a kind (by its end), of all walks, not only the best."""
     edge = F.get(F.filter("chain", lambda e: e["kind"] == kind), 0)
