@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import weights as W
+from .storage import stored
+
+#: Terms of queries that go to all tasks at once.
+FEW = 1_000_000
 
 
 def anchors(jobs: DataFrame, skills: DataFrame, most_coverage: float) -> DataFrame:
@@ -38,10 +42,19 @@ def specific(terms: DataFrame, has_topic: DataFrame, works: DataFrame, most_degr
     return terms.join(degree.select("voc_id", W.idf_log10(F.col("total"), F.col("degree")).alias("idf")), "voc_id")
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """rows, stored, for all tasks at once if they are no more than FEW."""
+    kept = stored(rows)
+    return F.broadcast(kept) if kept.count() <= FEW else kept
+
+
 def hits(terms: DataFrame, has_topic: DataFrame, works: DataFrame, most_degree: float) -> DataFrame:
-    """L21, JOIN-19, FLT-19: query_id, work_id, voc_id, idf, year, score for terms (query_id, voc_id, score) that few enough works have."""
-    kept = specific(terms, has_topic, works, most_degree)
-    return kept.join(has_topic, "voc_id").join(works.select("work_id", "year"), "work_id").select("query_id", "work_id", "voc_id", "idf", "year", "score")
+    """L21, JOIN-19, FLT-19: query_id, work_id, voc_id, idf, year, score for terms (query_id, voc_id, score) that few enough works have.
+
+    Works keep their partitioning by work_id; a join by term would put all works of a term into one task.
+    """
+    kept = few(specific(terms, has_topic, works, most_degree))
+    return has_topic.join(works.select("work_id", "year"), "work_id").join(kept, "voc_id").select("query_id", "work_id", "voc_id", "idf", "year", "score")
 
 
 def gated(pairs: DataFrame, caps: dict[str, int]) -> DataFrame:
@@ -50,7 +63,8 @@ def gated(pairs: DataFrame, caps: dict[str, int]) -> DataFrame:
     rows = pairs.withColumn("role", role).where(F.col("role").isNotNull()).withColumn("value", F.col("value") * F.when(F.col("role") == "secondary", 0.65).otherwise(1.0))
     table = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
     rank = F.row_number().over(Window.partitionBy("query_id", "voc_id", "role").orderBy(F.desc("value"), "work_id"))
-    return rows.withColumn("r", rank).where(F.col("r") <= F.coalesce(F.try_element_at(table, F.col("role")), F.lit(0))).drop("r")
+    # By the largest cap, each partition keeps the first ones before it sends them.
+    return rows.withColumn("r", rank).where(F.col("r") <= max(caps.values())).where(F.col("r") <= F.coalesce(F.try_element_at(table, F.col("role")), F.lit(0))).drop("r")
 
 
 def work_scores(pairs: DataFrame) -> DataFrame:
