@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.weights import blend, clipped
 from .cascade import Test, judged
+from .ranks import placed
 from .rules import or_zero, paper_factor, unit
+from .storage import stored
 
 KEYS = ["query_id", "work_id"]
 RESONANCE, SUPPORTED, SINGLE_MAIN, SINGLE_SIDE, SIDE_ONLY = "mainline_resonance", "mainline_plus_support", "single_hit_mainline", "single_hit_side", "side_only_or_accidental_multi_hit"
@@ -125,10 +127,12 @@ def cohesion(works: DataFrame, mixes: DataFrame, profile: DataFrame) -> DataFram
     of = mixes.groupBy(*by).agg(main("subfield").alias("_s"), main("topic").alias("_t"), F.collect_list(F.struct("level", F.concat_ws("\u0001", "level", "key").alias("at"), "share")).alias("_mix"))
     wanted = profile.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "level", "key"), "share"))).alias("_profile"))
     pool = works.join(of, by, "left")
-    n = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    same = pool.where("_s is not null and _t is not null").groupBy("query_id", "_s", "_t").agg((F.count(F.lit(1)) - 1).alias("neighbours"))
-    each = pool.select("query_id", F.explode(F.array(F.struct(F.lit("subfield").alias("level"), _c("_s").alias("key")), F.struct(F.lit("topic").alias("level"), _c("_t").alias("key")))).alias("k")).select("query_id", "k.level", "k.key")
-    often = each.where("key is not null").groupBy("query_id", "level", "key").agg(F.count(F.lit(1)).alias("m")).join(n, "query_id")
+    # A row for each query, subfield and topic, from which the rest is counted.
+    counts = stored(pool.groupBy("query_id", "_s", "_t").agg(F.count(F.lit(1)).alias("_c")))
+    n = counts.groupBy("query_id").agg(F.sum("_c").alias("_n"))
+    same = counts.where("_s is not null and _t is not null").select("query_id", "_s", "_t", (F.col("_c") - 1).alias("neighbours"))
+    each = counts.select("query_id", "_c", F.explode(F.array(F.struct(F.lit("subfield").alias("level"), _c("_s").alias("key")), F.struct(F.lit("topic").alias("level"), _c("_t").alias("key")))).alias("k")).select("query_id", "_c", "k.level", "k.key")
+    often = each.where("key is not null").groupBy("query_id", "level", "key").agg(F.sum("_c").alias("m")).join(n, "query_id")
     often = often.where(_c("m") >= F.greatest(F.lit(FREQ_LEAST), F.ceil(FREQ_SHARE * _c("_n")))).select("query_id", "level", "key")
     first = F.row_number().over(Window.partitionBy("query_id", "level").orderBy(F.desc("share"), "key"))
     keys = often.unionByName(profile.where(_c("level").isin("subfield", "topic")).withColumn("_r", first).where(_c("_r") <= PROFILE_KEYS).select("query_id", "level", "key")).distinct()
@@ -186,14 +190,22 @@ def compete(works: DataFrame) -> DataFrame:
 
 
 def reselected(works: DataFrame, most: int) -> DataFrame:
-    """RUL-09: works with first_rank (by protected, of the first selection), rank (by compete) and moved: kept, in, out or null for works that neither selection of `most` has; and why, for those that moved the factors above and below one that did it."""
-    own = Window.partitionBy("query_id")
-    # Nine digits: the order of a sum must not decide a rank.
-    place = lambda c: F.row_number().over(own.orderBy(F.round(c, 9).desc(), "work_id"))
-    rows = works.withColumn("first_rank", place("protected")).withColumn("rank", place("compete"))
+    """RUL-09: works with first_rank (by protected, of the first selection), rank (by compete) and moved: kept, in, out or null for works that neither selection of `most` has; and why, for those that moved the factors above and below one that did it (if works have factors)."""
+    rows = placed(placed(works, "query_id", _order("protected"), "first_rank"), "query_id", _order("compete"), "rank")
     was, now = _c("first_rank") <= most, _c("rank") <= most
     rows = rows.withColumn("moved", F.when(was & now, "kept").when(now, "in").when(was, "out"))
-    return rows.withColumn("why", F.when(_c("moved").isin("in", "out"), F.array_join("factors", ",")))
+    return rows.withColumn("why", F.when(_c("moved").isin("in", "out"), F.array_join("factors", ","))) if "factors" in works.columns else rows
+
+
+def selected(works: DataFrame, most: int) -> DataFrame:
+    """RUL-09: the works that the second selection of `most` has, those that reselected() calls kept or in; each partition sends a query's first ones only."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*_order("compete")))
+    return works.withColumn("_rank", place).where(_c("_rank") <= most).drop("_rank")
+
+
+def _order(score: str) -> list[Column]:
+    """Nine digits: the order of a sum must not decide a rank."""
+    return [F.round(score, 9).desc(), F.col("work_id").asc()]
 
 
 # --- authors

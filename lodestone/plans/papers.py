@@ -11,7 +11,7 @@ from ..operators import label as L
 from ..operators import landing as G
 from ..operators import papers as P
 from ..operators import statistics as S
-from ..operators.storage import once
+from ..operators.storage import once, stored, written
 from .label import _T
 from .landing import _POOL, alignment, relative_similar, top_anchors
 from .registry import query
@@ -45,7 +45,8 @@ def term_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidenced(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, "work evidence", d, lambda: _evidenced(spark, d), KEPT)
+    """What the second selection wants of works and their evidence."""
+    return written(_evidenced(spark, d).select(*P.KEYS, "n", "mainline", "side", "hit_class", "coherence", "preview", "evidence", "protected", "axes"))
 
 
 def _evidenced(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +136,9 @@ _COHESION = _WORKS + """, dk AS (SELECT DISTINCT work_id, CAST(unnest(string_spl
 
 
 def competed(spark: SparkSession, d: str) -> DataFrame:
-    return P.reselected(P.compete(P.cohesion(evidenced(spark, d), topic_mixes(spark, d), profile(spark, d))), KEPT)
+    """What selections and what follows them want of works that competed."""
+    rows = lambda: P.compete(P.cohesion(evidenced(spark, d), topic_mixes(spark, d), profile(spark, d)))
+    return once(spark, "works competed", d, lambda: rows().select(*P.KEYS, "protected", "mixed", "compete", "hit_class", "axes", "mainline"), keep=written)
 
 
 @query("rul09_cohesion", _COHESION + " SELECT query_id, work_id, neighbours, around AS in_neighbourhood, overlap, signals, cohesion FROM ch", *_T)
@@ -146,16 +149,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rul09_reselected", _COHESION + f""" SELECT query_id, work_id, round(mixed, 11) AS mixed, round(compete, 11) AS compete, r1 AS first_rank, r2 AS rank, CASE WHEN r1 <= {KEPT} AND r2 <= {KEPT} THEN 'kept' WHEN r2 <= {KEPT} THEN 'in' WHEN r1 <= {KEPT} THEN 'out' END AS moved FROM k3""", *_T)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return competed(spark, d).select("query_id", "work_id", F.round("mixed", 11).alias("mixed"), F.round("compete", 11).alias("compete"), "first_rank", "rank", "moved")
+    rows = P.reselected(competed(spark, d).select(*P.KEYS, "protected", "mixed", "compete"), KEPT)
+    return rows.select("query_id", "work_id", F.round("mixed", 11).alias("mixed"), F.round("compete", 11).alias("compete"), "first_rank", "rank", "moved")
 
 
 @query("rul10_broad_dominance")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Authors of the works that the second selection keeps: whether one broad term of the main line carries them, why, and the signals."""
-    kept = competed(spark, d).where(F.col("moved").isin("kept", "in")).select("query_id", "work_id", "compete", "hit_class", "axes", "mainline")
-    by = X.authorships(spark, d).select("work_id", "author_id").distinct()
-    parts = term_hits(spark, d).groupBy(*P.KEYS).agg(F.array_sort(F.collect_list(F.struct("term", "value"))).alias("contributions"))
-    every = kept.join(by, "work_id").join(parts, P.KEYS)
+    kept = stored(P.selected(competed(spark, d).select(*P.KEYS, "compete", "hit_class", "axes", "mainline"), KEPT))
+    # KEPT works a query at most: the rest is read past them.
+    by = X.authorships(spark, d).join(F.broadcast(kept), "work_id").select(*kept.columns, "author_id").distinct()
+    hits = term_hits(spark, d).join(F.broadcast(kept.select(*P.KEYS)), P.KEYS, "left_semi")
+    parts = hits.groupBy(*P.KEYS).agg(F.array_sort(F.collect_list(F.struct("term", "value"))).alias("contributions"))
+    every = by.join(parts, P.KEYS)
     keys = ["query_id", "author_id"]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("compete"), "work_id"))
     best = every.withColumn("_r", place).where("_r <= 10")
