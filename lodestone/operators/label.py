@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import weights as W
-from .storage import stored
-
-#: Terms of queries that go to all tasks at once.
-FEW = 1_000_000
+from .statistics import merged, packed, spelled
+from .storage import few
 
 
 def anchors(jobs: DataFrame, skills: DataFrame, most_coverage: float) -> DataFrame:
-    """L3, JOIN-22: query_id, voc_id, job_freq, coverage: skills of a query's jobs, without those that too many of all jobs have."""
-    total = skills.agg(F.countDistinct("job_id").alias("total"))
-    cover = skills.groupBy("voc_id").agg(F.countDistinct("job_id").alias("with")).crossJoin(F.broadcast(total)).select("voc_id", (F.col("with") / F.col("total")).alias("coverage"))
-    mine = jobs.join(skills, "job_id").groupBy("query_id", "voc_id").agg(F.countDistinct("job_id").alias("job_freq"))
+    """L3, JOIN-22: query_id, voc_id, job_freq, coverage: skills of a query's jobs, without those that too many of all jobs have. skills: job_id, voc_id, or packed; rows may repeat.
+
+    A job's skills are one set, so that jobs are counted as they stand and not told apart for each skill.
+    """
+    own = merged(skills, "job_id") if "bits" in skills.columns else packed(skills.where("job_id is not null"), "job_id")
+    total = own.agg(F.countDistinct("job_id").alias("total"))
+    cover = spelled(own).groupBy("voc_id").agg(F.count(F.lit(1)).alias("with")).crossJoin(F.broadcast(total)).select("voc_id", (F.col("with") / F.col("total")).alias("coverage"))
+    mine = spelled(jobs.select("query_id", "job_id").distinct().join(own, "job_id")).groupBy("query_id", "voc_id").agg(F.count(F.lit(1)).alias("job_freq"))
     return mine.join(cover.where(F.col("coverage") < most_coverage), "voc_id").select("query_id", "voc_id", "job_freq", "coverage")
 
 
@@ -38,23 +40,17 @@ def landings(frontier: DataFrame, similar: DataFrame, k: int, least: float) -> D
 def specific(terms: DataFrame, has_topic: DataFrame, works: DataFrame, most_degree: float) -> DataFrame:
     """terms (voc_id, ...) that few enough works have, with idf."""
     total = works.agg(F.count(F.lit(1)).alias("total"))
-    degree = has_topic.groupBy("voc_id").agg(F.count(F.lit(1)).alias("degree")).crossJoin(F.broadcast(total)).where(F.col("degree") / F.col("total") < most_degree)
+    degree = spelled(has_topic).groupBy("voc_id").agg(F.count(F.lit(1)).alias("degree")).crossJoin(F.broadcast(total)).where(F.col("degree") / F.col("total") < most_degree)
     return terms.join(degree.select("voc_id", W.idf_log10(F.col("total"), F.col("degree")).alias("idf")), "voc_id")
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """rows, stored, for all tasks at once if they are no more than FEW."""
-    kept = stored(rows)
-    return F.broadcast(kept) if kept.count() <= FEW else kept
-
-
 def hits(terms: DataFrame, has_topic: DataFrame, works: DataFrame, most_degree: float) -> DataFrame:
     """L21, JOIN-19, FLT-19: query_id, work_id, voc_id, idf, year, score for terms (query_id, voc_id, score) that few enough works have.
 
     Works keep their partitioning by work_id; a join by term would put all works of a term into one task.
     """
     kept = few(specific(terms, has_topic, works, most_degree))
-    return has_topic.join(works.select("work_id", "year"), "work_id").join(kept, "voc_id").select("query_id", "work_id", "voc_id", "idf", "year", "score")
+    return spelled(has_topic.join(works.select("work_id", "year"), "work_id")).join(kept, "voc_id").select("query_id", "work_id", "voc_id", "idf", "year", "score")
 
 
 def gated(pairs: DataFrame, caps: dict[str, int]) -> DataFrame:

@@ -10,8 +10,8 @@ from ..functions import roles as R
 from ..operators import anchoring as A
 from ..operators import statistics as S
 from ..operators import vectors as V
-from ..operators.storage import once, stored
-from .label import _ANCH, _SIM, _T, jobs, skills
+from ..operators.storage import few, once, stored
+from .label import _ANCH, _SIM, _T, jobs, skill_words
 from .landing import relative_similar, top_anchors
 from .registry import query
 from .stats import _HIST, _WV, histogram
@@ -22,7 +22,9 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     orders = X.raw(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("job_id"))
     own = jobs(spark, d).join(orders, "job_id")
     first = own.groupBy("query_id").agg(F.min("job_id").alias("job_id"))
-    parts = X.raw(spark, d, "lineitem").join(own.join(first, ["query_id", "job_id"]), "l_orderkey").join(X.raw(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    # The orders of one customer a query: lines are read past them, and parts past those lines.
+    mine = few(own.join(F.broadcast(first), ["query_id", "job_id"]))
+    parts = few(X.raw(spark, d, "lineitem").join(mine, "l_orderkey").select("query_id", "l_orderkey", "l_linenumber", "l_partkey")).join(X.raw(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     lines = parts.groupBy("query_id", "l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))), lambda e: e["p_name"]), ", ").alias("s"))
     return lines.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "s"))), lambda e: e["s"]), "。").alias("text"))
 
@@ -151,7 +153,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     mass = top_anchors(spark, d).join(ratio.withColumnRenamed("voc_id", "anchor_id"), "anchor_id").groupBy("query_id", "domain_id").agg(F.round(F.sum("ratio"), 9).alias("mass"))
     active = mass.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("mass"), "domain_id"))).where("_r <= 11").select("query_id", "domain_id")
     inside = active.join(ratio, "domain_id").groupBy("query_id", "voc_id").agg(F.round(F.sum("ratio"), 9).alias("domain_ratio"))
-    owned = skills(spark, d)
+    owned = skill_words(spark, d)
     total = owned.agg(F.countDistinct("job_id").alias("total"))
-    cover = owned.groupBy("voc_id").agg(F.countDistinct("job_id").alias("n")).crossJoin(F.broadcast(total)).select("voc_id", (F.col("n") / F.col("total") / 20).alias("coverage"))
+    cover = S.spelled(owned).groupBy("voc_id").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("voc_id", (F.col("n") / F.col("total") / 20).alias("coverage"))
     return A.supplemented(job_vectors(spark, d).select("query_id", F.col("job").alias("q")), terms(spark, d), top_anchors(spark, d), inside.join(cover, "voc_id", "left"), 30)

@@ -14,7 +14,7 @@ from ..operators.storage import once
 from .label import _ANCH, _SIM, _T, anchors, similar
 from .registry import query
 from .rules import term_statistics
-from .stats import _HIST, _WV, work_vocabulary
+from .stats import _HIST, _WV, cooccurrence
 
 #: Anchors of a query that go on, of which the first ones are strong; candidates of an anchor by similarity, by context and by family.
 ANCHORS, STRONG, NEAR, CONDITIONED, FAMILY = 20, 8, 8, 8, 6
@@ -219,7 +219,7 @@ def support_edges(spark: SparkSession, d: str) -> DataFrame:
     rel, w = relative_similar(spark, d), words(spark, d)
     near = rel.where(F.col("r") <= NEAR).groupBy("src").agg(F.collect_set("dst").alias("near"))
     sim = lambda key, name: rel.select(F.col("src").alias(key), F.col("dst").alias("target"), F.col("static").alias(name))
-    edges = able.select("query_id", "anchor_id", "cand").join(S.partners(S.cooccurrence(work_vocabulary(spark, d))).select(F.col("voc_id").alias("cand"), F.col("partner").alias("target"), "freq"), "cand")
+    edges = able.select("query_id", "anchor_id", "cand").join(S.partners(cooccurrence(spark, d)).select(F.col("voc_id").alias("cand"), F.col("partner").alias("target"), "freq"), "cand")
     edges = edges.join(sim("cand", "primary"), ["cand", "target"], "left").join(sim("anchor_id", "anchor"), ["anchor_id", "target"], "left")
     family = landed(spark, d).where(F.col("bucket").isin(*G.KEPT)).select("query_id", "anchor_id", F.col("cand").alias("member"))
     # A pair of anchor and target is measured once, whatever the number of its seeds; an anchor has a handful of members.

@@ -15,7 +15,7 @@ from ..operators.storage import once, stored, written
 from .label import _T
 from .landing import _POOL, alignment, relative_similar, top_anchors
 from .registry import query
-from .stats import histogram, work_vocabulary
+from .stats import histogram, work_words
 
 #: Types of works as axes of jobs (a stand-in: works here have no text to ground axes in).
 AXES = {"1-URGENT": "planning_trajectory", "2-HIGH": "estimation", "3-MEDIUM": "control_core", "4-NOT SPECIFIED": "unclassified", "5-LOW": "generic_robot_autonomous_shell"}
@@ -27,7 +27,7 @@ def hit_terms(spark: SparkSession, d: str) -> DataFrame:
     """query_id, voc_id and what a hit has from its term alone: ANCHORS rows a query at most."""
     top = top_anchors(spark, d)
     terms = top.select("query_id", F.col("anchor_id").alias("voc_id"), (F.col("job_freq") / 10.0).alias("score"))
-    kept = L.specific(terms, work_vocabulary(spark, d), X.works(spark, d), 0.3)
+    kept = L.specific(terms, work_words(spark, d), X.works(spark, d), 0.3)
     main = top.where(F.col("mode") == G.MAIN).select("query_id", F.col("anchor_id").alias("parent"))
     near = top.where(F.col("mode") != G.MAIN).select("query_id", "anchor_id").join(relative_similar(spark, d).select(F.col("src").alias("anchor_id"), F.col("dst").alias("parent"), "static"), "anchor_id").join(main, ["query_id", "parent"])
     best = near.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "anchor_id").orderBy(F.desc("static"), "parent"))).where("_r = 1")
@@ -39,7 +39,7 @@ def hit_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def term_hits(spark: SparkSession, d: str) -> DataFrame:
     """query_id, work_id, voc_id, value and what operators/papers.py wants of a hit. Works meet the few terms as they lie, partitioned by work, and so need no further shuffle by query and work."""
-    topics = work_vocabulary(spark, d).join(X.works(spark, d).select("work_id", "year"), "work_id")
+    topics = S.spelled(work_words(spark, d).join(X.works(spark, d).select("work_id", "year"), "work_id"))
     rows = topics.join(F.broadcast(hit_terms(spark, d)), "voc_id").withColumn("value", F.col("score") * F.col("idf") * W.recency(F.col("year")))
     return rows.withColumn("grounding", F.round(F.col("idf") / F.sum("idf").over(Window.partitionBy("query_id", "work_id")), 6))
 

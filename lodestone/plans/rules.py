@@ -11,7 +11,7 @@ from ..operators import rules as R
 from ..operators import statistics as S
 from .registry import query
 from .retrieval import _LISTS, pool
-from .stats import _HIST, work_vocabulary
+from .stats import _HIST, histogram
 
 _T = ("works", "terms", "vocabulary")
 _A = ("works", "authorships", "authors")
@@ -20,7 +20,7 @@ _TERM = _HIST + ", tt AS (SELECT voc_id, sum(n) AS works, count(*) AS span, max(
 
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     """voc_id, works, span, dist: a term's number of works and domains, and its share of each domain."""
-    hist = S.domain_histogram(work_vocabulary(spark, d), X.works(spark, d))
+    hist = histogram(spark, d)
     ratio = S.domain_ratio(hist).groupBy("voc_id").agg(F.map_from_entries(F.collect_list(F.struct("domain_id", "ratio"))).alias("dist"))
     return hist.groupBy("voc_id").agg(F.sum("n").alias("works"), F.count(F.lit(1)).alias("span")).join(ratio, "voc_id")
 
