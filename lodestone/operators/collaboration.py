@@ -14,17 +14,29 @@ from ..functions import weights as W
 from .products import chained
 
 
+#: Authorships that a task sorts and counts by work, of more than MANY.
+ROWS, MANY = 500_000, 4_000_000
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """n rows, dealt out by work: partitions that are merged by their size in bytes hold the more rows the better these compress, and a task's memory with them."""
+    if n <= MANY:
+        return rows
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS)), "work_id")
+
+
 def weighted_authorships(authorships: DataFrame, works: DataFrame, authors: DataFrame, config: Config = DEFAULT, literal: bool = False) -> DataFrame:
     """work_id, author_id, weight, h_index. One row per work and author (the largest weight); literal keeps repeated rows."""
     weight = W.contribution(F.col("pos_index"), F.col("is_alphabetical"), F.col("is_corresponding")) * W.exponential_decay(F.col("year"), config.as_of_year)
-    rows = authorships.join(works.select("work_id", "year"), "work_id").join(authors.select("author_id", "h_index"), "author_id").select("work_id", "author_id", weight.alias("weight"), "h_index")
+    rows = _dealt(authorships.join(authors.select("author_id", "h_index"), "author_id"), authorships.count())
+    rows = rows.join(works.select("work_id", "year"), "work_id").select("work_id", "author_id", weight.alias("weight"), "h_index")
     return rows if literal else rows.groupBy("work_id", "author_id").agg(F.max("weight").alias("weight"), F.max("h_index").alias("h_index"))
 
 
 def team_sized(weighted: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """FLT-07: authorships of works with team_least to team_most of them."""
-    sizes = weighted.groupBy("work_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(config.team_least, config.team_most))
-    return weighted.join(sizes.select("work_id"), "work_id", "left_semi")
+    n = F.count(F.lit(1)).over(Window.partitionBy("work_id"))
+    return weighted.where("work_id is not null").withColumn("_n", n).where(F.col("_n").between(config.team_least, config.team_most)).drop("_n")
 
 
 def direct_scores(weighted: DataFrame, config: Config = DEFAULT) -> DataFrame:
