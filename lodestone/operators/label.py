@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import weights as W
-from .statistics import merged, packed, spelled
+from .statistics import counted, packed, spelled
 from .storage import few
 
 
 def anchors(jobs: DataFrame, skills: DataFrame, most_coverage: float) -> DataFrame:
-    """L3, JOIN-22: query_id, voc_id, job_freq, coverage: skills of a query's jobs, without those that too many of all jobs have. skills: job_id, voc_id, or packed; rows may repeat.
+    """L3, JOIN-22: query_id, voc_id, job_freq, coverage: skills of a query's jobs, without those that too many of all jobs have. skills: job_id, voc_id, whose rows may repeat, or packed sets, a row for each job and word.
 
-    A job's skills are one set, so that jobs are counted as they stand and not told apart for each skill.
+    A job's skills are one set, so that jobs are counted as they stand and not told apart for each skill. Packed sets are read three times and should be stored.
     """
-    own = merged(skills, "job_id") if "bits" in skills.columns else packed(skills.where("job_id is not null"), "job_id")
+    own = (skills if "bits" in skills.columns else packed(skills, "job_id")).where("job_id is not null")
     total = own.agg(F.countDistinct("job_id").alias("total"))
-    cover = spelled(own).groupBy("voc_id").agg(F.count(F.lit(1)).alias("with")).crossJoin(F.broadcast(total)).select("voc_id", (F.col("with") / F.col("total")).alias("coverage"))
-    mine = spelled(jobs.select("query_id", "job_id").distinct().join(own, "job_id")).groupBy("query_id", "voc_id").agg(F.count(F.lit(1)).alias("job_freq"))
+    cover = counted(own).crossJoin(F.broadcast(total)).select("voc_id", (F.col("n") / F.col("total")).alias("coverage"))
+    mine = counted(jobs.select("query_id", "job_id").distinct().join(own, "job_id"), "query_id").withColumnRenamed("n", "job_freq")
     return mine.join(cover.where(F.col("coverage") < most_coverage), "voc_id").select("query_id", "voc_id", "job_freq", "coverage")
 
 
@@ -40,7 +40,7 @@ def landings(frontier: DataFrame, similar: DataFrame, k: int, least: float) -> D
 def specific(terms: DataFrame, has_topic: DataFrame, works: DataFrame, most_degree: float) -> DataFrame:
     """terms (voc_id, ...) that few enough works have, with idf."""
     total = works.agg(F.count(F.lit(1)).alias("total"))
-    degree = spelled(has_topic).groupBy("voc_id").agg(F.count(F.lit(1)).alias("degree")).crossJoin(F.broadcast(total)).where(F.col("degree") / F.col("total") < most_degree)
+    degree = counted(has_topic).withColumnRenamed("n", "degree").crossJoin(F.broadcast(total)).where(F.col("degree") / F.col("total") < most_degree)
     return terms.join(degree.select("voc_id", W.idf_log10(F.col("total"), F.col("degree")).alias("idf")), "voc_id")
 
 

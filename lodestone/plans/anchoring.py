@@ -153,7 +153,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     mass = top_anchors(spark, d).join(ratio.withColumnRenamed("voc_id", "anchor_id"), "anchor_id").groupBy("query_id", "domain_id").agg(F.round(F.sum("ratio"), 9).alias("mass"))
     active = mass.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("mass"), "domain_id"))).where("_r <= 11").select("query_id", "domain_id")
     inside = active.join(ratio, "domain_id").groupBy("query_id", "voc_id").agg(F.round(F.sum("ratio"), 9).alias("domain_ratio"))
-    owned = skill_words(spark, d)
+    owned = skill_words(spark, d).where("job_id is not null")
     total = owned.agg(F.countDistinct("job_id").alias("total"))
-    cover = S.spelled(owned).groupBy("voc_id").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("voc_id", (F.col("n") / F.col("total") / 20).alias("coverage"))
+    cover = S.counted(owned).crossJoin(F.broadcast(total)).select("voc_id", (F.col("n") / F.col("total") / 20).alias("coverage"))
     return A.supplemented(job_vectors(spark, d).select("query_id", F.col("job").alias("q")), terms(spark, d), top_anchors(spark, d), inside.join(cover, "voc_id", "left"), 30)
