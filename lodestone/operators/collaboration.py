@@ -39,17 +39,22 @@ def team_sized(weighted: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return weighted.where("work_id is not null").withColumn("_n", n).where(F.col("_n").between(config.team_least, config.team_most)).drop("_n")
 
 
-def direct_scores(weighted: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """JOIN-05, FLT-24, AGG-10: aid1 < aid2, s_val, h1, h2."""
+def direct_pairs(weighted: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """JOIN-05, FLT-24: aid1 < aid2, s_val, h1, h2, a row for each work that both have: chains add up what repeated pairs have."""
     team = team_sized(weighted, config)
     a = team.select("work_id", F.col("author_id").alias("aid1"), F.col("weight").alias("w1"), F.col("h_index").alias("h1"))
     b = team.select("work_id", F.col("author_id").alias("aid2"), F.col("weight").alias("w2"), F.col("h_index").alias("h2"))
-    pairs = a.join(b, "work_id").where("aid1 < aid2").withColumn("s", F.col("w1") * F.col("w2")).where(F.col("s") > config.pair_least)
-    return pairs.groupBy("aid1", "aid2").agg(F.sum("s").alias("s_val"), F.max("h1").alias("h1"), F.max("h2").alias("h2"))
+    pairs = a.join(b, "work_id").where("aid1 < aid2").withColumn("s_val", F.col("w1") * F.col("w2")).where(F.col("s_val") > config.pair_least)
+    return pairs.select("aid1", "aid2", "s_val", "h1", "h2")
+
+
+def direct_scores(weighted: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """JOIN-05, FLT-24, AGG-10: aid1 < aid2, s_val, h1, h2."""
+    return direct_pairs(weighted, config).groupBy("aid1", "aid2").agg(F.sum("s_val").alias("s_val"), F.max("h1").alias("h1"), F.max("h2").alias("h2"))
 
 
 def indirect_scores(direct: DataFrame, config: Config = DEFAULT, ordered_chain: bool = True) -> DataFrame:
-    """JOIN-06, AGG-11: through one author in between; ordered_chain follows rising ids only, else every chain counts."""
+    """JOIN-06, AGG-11: through one author in between, from direct scores or pairs; ordered_chain follows rising ids only, else every chain counts."""
     if not ordered_chain:
         direct = direct.unionByName(direct.select(F.col("aid2").alias("aid1"), F.col("aid1").alias("aid2"), "s_val", F.col("h2").alias("h1"), F.col("h1").alias("h2")))
     return _chains(direct, config, not ordered_chain)
@@ -65,7 +70,7 @@ def _chains(direct: DataFrame, config: Config, symmetric: bool, own: bool = Fals
 
 
 def collaboration(direct: DataFrame, top: int = 100, config: Config = DEFAULT, ordered_chain: bool = True) -> DataFrame:
-    """aid1, aid2, score: direct and indirect scores added up, the best `top` of each aid1 (ties: the smaller aid2)."""
+    """aid1, aid2, score: direct (scores or pairs) and indirect scores added up, the best `top` of each aid1 (ties: the smaller aid2)."""
     if ordered_chain:
         total = _chains(direct, config, False, own=True, top=top)
     else:

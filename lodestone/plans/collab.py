@@ -40,7 +40,7 @@ def weighted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def network(spark: SparkSession, d: str, top: int = 20) -> DataFrame:
-    return once(spark, f"network {top}", d, lambda: C.collaboration(C.direct_scores(weighted(spark, d)), top))
+    return once(spark, f"network {top}", d, lambda: C.collaboration(C.direct_pairs(weighted(spark, d)), top))
 
 
 @query("join02_weighted_authorships", _WEIGHTED + " SELECT work_id, author_id, weight, h_index FROM weighted", *_T)
@@ -60,7 +60,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("join06_agg11_indirect_scores", _INDIRECT + " SELECT * FROM indirect", *_T)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return C.indirect_scores(C.direct_scores(weighted(spark, d)))
+    return C.indirect_scores(C.direct_pairs(weighted(spark, d)))
 
 
 @query("win01_collaboration_network", _NETWORK + " SELECT * FROM network", *_T)
